@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.llm.bpe import count_tokens, encode
+from factloom.llm.defects import defects, one_defect
 from factloom.llm.leaks import leak_report, leaks
 from factloom.llm.overlap import overlap_pairs, overlap_report
 from factloom.llm.packing import containers, pack_texts
+from factloom.llm.pii import personal_information, redacted
 from factloom.llm.splits import assign_splits, linked_groups
 from factloom.llm.vectors import neighbour_rows, neighbours, similar_pairs
 from factloom.storage import table
@@ -37,6 +39,14 @@ def p3_report(spark, d):
     return overlap_report(table(spark, d, "qa_records"))
 
 
+def p4_found(spark, d):
+    return one_defect(defects(table(spark, d, "predictions")))
+
+
+def p4_labels(spark, d):
+    return defects(table(spark, d, "predictions"))
+
+
 def p6_found(spark, d):
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -64,7 +74,15 @@ def p8_room(spark, d):
     return containers(pack_texts(table(spark, d, "documents")))
 
 
+def p9_found(spark, d):
+    return personal_information(table(spark, d, "documents"), table(spark, d, "given_names")).select("doc_id", "pii_type", "pii_value")
+
+
+def p9_redacted(spark, d):
+    return redacted(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_splits, p3_found, p3_report, p6_found, p6_report, p7_ids, p7_tokens_by_language, p8_containers, p8_room)
+    for f in (p1_found, p1_neighbours, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_labels, p6_found, p6_report, p7_ids, p7_tokens_by_language, p8_containers, p8_room, p9_found, p9_redacted)
 }
