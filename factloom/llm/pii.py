@@ -54,12 +54,12 @@ ID_AFTER = re.compile(r"^[\s,;.)]*(?:was copied|was opened|is on file|admitted|l
 ID_SHAPE = re.compile(r"\d{3}([- ])\d\d\1\d{4}$|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]$|[A-Z]\d{7,9}$|[A-Z]-\d{4}-\d{3}$|\d{4} \d{3} \d\d-\d$|\d{8}[A-Z]$")
 NOT_PERSON_BEFORE = _C(r"lot|batch(?: of)?|trial|study|pmid|pmc|doi|cas|ndc|rows?|code|nct|isbn|issn|eudract|patent|product|version|serial(?: no| number)?|model|chapter|section|table|figure|page|ward|bed|isrctn|item|order|invoice|ref|set at|held|estudio|studie|étude|charge|lote|in study")
 ADDRESS_BEFORE = _C(r"address|lives at|living at|deliver to|visit at|sent to|back from|house at|adresse|wohnhaft in|wohnt in|habite|domicile|vive en|domicilio|dirección|anschrift|resides at|home|addr|post to|ship to")
-NAME_TITLE = re.compile(r"(?:^|[^\w])(?:mr|mrs|ms|miss|dr|prof|herr|herrn|frau|mme|mlle|m|monsieur|madame|señora?|sra?|don|doña|nurse|sister|schwester|pfleger|patient|patiente|patientin|paciente|doctor|docteur|doctora|professor|sir|lady)\.?\s$", re.I)
+NAME_TITLE = re.compile(r"(?:^|[^\w=])(?:mr|mrs|ms|miss|dr|prof|herr|herrn|frau|mme|mlle|m|monsieur|madame|señora?|sra?|don|doña|nurse|sister|schwester|pfleger|patient|patiente|patientin|paciente|doctor|docteur|doctora|professor|sir|lady)\.?\s$", re.I)
 NAME_BEFORE = _C(r"signed|signé|signature|gezeichnet|firmado|name|nom|nombre|contact_person|contact|witness|reported by|filed by|written by|according to|spoke with|left with|asked by|seen by|regards|wishes|grüße|saludos|cordialement|on duty|sincerely|reporter|author")
 NAME_AFTER = re.compile(r"^[\s,]*(?:reported|noted|called|reread|klagte|meldete|a signalé|a arrêté|dejó|avisó|gave|asked|and a relative|nor the|was seen|overnight|on the ward|said|wrote|told|rang|sagte|berichtete|a dit|dijo|: is this|came back)", re.I)
 NOT_NAME_AFTER = re.compile(r"^(?:'s)?[\s-]*(?:syndrome|disease|scale|sign|test|score|index|study|trial|cohort|clinic|hospital|institute|institut|university|centre|center|foundation|pharma|laborator|street|road|avenue|method|criteria|reaction|maneuver|manoeuvre|procedure|classification|krankheit|klinik|hôpital|clinique|clínica|hospital|met its|II\b|III\b|IV\b|\d|-\d|ran on|group|consortium|effect|staining|equation)", re.I)
 NOT_NAME_BEFORE = re.compile(r"(?:^|[^\w])(?:study|trial|model|lot|batch|code|the|cohort|estudio|studie|étude|project|system)\s$", re.I)
-SENTENCE_WORDS = frozenset("neither nor while because since although however also both either each every please thanks dear hello best kind warm yours until again still later today yesterday ja nein liebe lieber mit estimado estimada cher chère bonjour hola dijo asked signed contact reporter witness phone mail email tel fax address name".split())
+SENTENCE_WORDS = frozenset("neither nor while because since although however also both either each every please thanks dear hello best kind warm yours until again still later today yesterday ja nein liebe lieber mit estimado estimada cher chère bonjour hola dijo she he her his we they you member id record health card passport number national insurance call mobile telefon send study asked signed contact reporter witness phone mail email tel fax address name".split())
 _CAP = r"(?:[A-ZÀ-Þ](?:[^\W\d_]|['’])+(?:-[A-ZÀ-Þ](?:[^\W\d_]|['’])+)*(?![\w(\[#=@]))"
 RUN = re.compile(rf"(?<![\w@.#/-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:(?:,[ \xa0]|[ \xa0])(?:{_CAP}|[A-ZÀ-Þ]\.))*")
 _TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señor señora sr sra don doña nurse sister schwester pfleger patient patiente patientin paciente doctor docteur doctora professor sir lady".split())
