@@ -1,19 +1,553 @@
-"""Registered queries of the core; each takes (spark, directory of tables)."""
+"""Registered queries of the core; each takes (spark, directory of tables) and runs over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.functions import routing as R
+from factloom.functions import text as T
+from factloom.operators import analysis as A
+from factloom.operators import knowledge as N
+from factloom.operators import retrieval as Q
+from factloom.operators import scoring as S
+from factloom.operators import variants as V
 from factloom.operators.hotkeys import hot_pairs, key_report
-from factloom.storage import table
+from factloom.storage import cut, table
+from factloom.streaming.arrivals import arrivals as arrival_counts
 
+QUERIES = {}
 
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _facts(spark, d):
+    return table(spark, d, "facts")
+
+
+def _qa(spark, d):
+    return Q.qa_queries(table(spark, d, "qa_records"))
+
+
+def _items(spark, d):
+    return table(spark, d, "eval_items").withColumn("qid", F.col("item_id")).withColumn("qtext", F.concat_ws(" ", "question", "text"))
+
+
+def _scores(spark, d):
+    return S.score(table(spark, d, "predictions"))
+
+
+def _long(df, *cols):
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+# --- skewed keys -------------------------------------------------------------------------------
+
+
+@query
 def p5_found(spark, d):
-    return hot_pairs(table(spark, d, "facts"))
+    return hot_pairs(_facts(spark, d))
 
 
+@query
 def p5_report(spark, d):
-    return key_report(table(spark, d, "facts")).withColumn("share", F.round("share", 6))
+    return key_report(_facts(spark, d)).withColumn("share", F.round("share", 6))
+
+
+# --- texts, identifiers, numbers ---------------------------------------------------------------
+
+
+@query
+def fact_token_counts(spark, d):
+    """Tokens of each fact's text and of title, text and aliases together."""
+    f = _facts(spark, d)
+    tk = T.tokens(F.coalesce("text", F.lit("")))
+    return f.select("fact_idx", F.size(tk).cast("long").alias("n_tokens"), F.size(F.array_distinct(tk)).cast("long").alias("n_distinct"), F.length(T.fact_text()).cast("long").alias("n_chars"), F.array_join(F.slice(T.token_set(F.coalesce("text", F.lit(""))), 1, 5), " ").alias("first_terms"))
+
+
+@query
+def passages(spark, d):
+    return _facts(spark, d).select("fact_idx", T.passage_text().alias("passage"))
+
+
+@query
+def normal_forms(spark, d):
+    p = S.latest(table(spark, d, "predictions"))
+    return p.select("pred_id", T.norm_text("prediction").alias("normal"), T.metric_text("prediction", "none").alias("metric"), T.metric_text("reference_output", "").alias("reference_metric"))
+
+
+@query
+def stable_ids(spark, d):
+    return _facts(spark, d).select("fact_idx", T.stable_id("source", "title", "text").alias("fid"), T.stable_id("source_id", "fact_idx", size=16).alias("rid"))
+
+
+@query
+def hash_buckets(spark, d):
+    q = table(spark, d, "qa_records").select("id").distinct()
+    return q.select("id", T.sha1_bucket("id", 6).cast("long").alias("bucket"), T.half_split("id").alias("half"))
+
+
+@query
+def mention_counts(spark, d):
+    m = Q.query_aliases(_qa(spark, d))
+    return m.groupBy("alias").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def record_types(spark, d):
+    q = _qa(spark, d)
+    return q.select("qa_id", T.probable_smiles("decoded_smiles").alias("smiles"), T.input_type("source", "input_molecule_or_context").alias("kind"), T.answer_shape("gold_answer").alias("shape"), R.question_type("source", "task_type").alias("question_type"), V.identity_key("drug_name", "decoded_smiles", "input_molecule_or_context").alias("identity"))
+
+
+@query
+def numbers(spark, d):
+    p = S.latest(table(spark, d, "predictions"))
+    return p.select("pred_id", T.first_number("prediction").alias("first_number"), T.is_number("reference_output").alias("is_numeric"), T.numeric_match("prediction", "reference_output").alias("matched"))
+
+
+@query
+def entity_names(spark, d):
+    e = _facts(spark, d).select("source", F.explode(T.entity_strings()).alias("e"))
+    return e.groupBy("source", T.norm_text("e").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def result_file_fields(spark, d):
+    p = table(spark, d, "predictions").select(F.concat_ws("_", "model_name", "dataset", "method_name", F.lit("ret_test_eval.json")).alias("file_name")).distinct()
+    return p.select("file_name", *S.filename_fields(F.col("file_name")))
+
+
+# --- routing -----------------------------------------------------------------------------------
+
+
+@query
+def routes(spark, d):
+    q = _qa(spark, d)
+    return q.select("qa_id", R.route().alias("skill"), R.route_legacy().alias("legacy"), R.route_question().alias("predicted"), R.route_analysis().alias("analysis"), R.route_random("id").alias("random"), R.route_wrong(R.route()).alias("wrong"))
+
+
+@query
+def router_confusion(spark, d):
+    names = list(R.SKILLS)
+    q = _qa(spark, d).select(R.route().alias("gold"), R.route_question().alias("predicted"))
+    return _long(q.groupBy("gold").pivot("predicted", names).count().fillna(0, names), *names)
+
+
+@query
+def router_accuracy(spark, d):
+    q = _qa(spark, d).select(R.route().alias("gold"), R.route_question().alias("predicted"))
+    return q.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_correct"), F.round(F.avg((F.col("gold") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
+
+
+@query
+def skill_pools(spark, d):
+    """Facts that each skill may use."""
+    f, s = _facts(spark, d).groupBy("source", "relation").agg(F.count(F.lit(1)).alias("n")), R.skill_table(spark)
+    x = f.join(F.broadcast(s), F.expr("array_contains(sources, source) and array_contains(relations, relation)"))
+    return x.groupBy("skill").agg(F.sum("n").alias("n_facts"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+@query
+def slot_availability(spark, d):
+    """How many records of a skill have each of its required slots."""
+    q = _qa(spark, d).withColumn("skill", R.route())
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    kind, task, question = F.coalesce("input_type", F.lit("")), F.coalesce(T.norm_text("task_type"), F.lit("")), F.coalesce(T.norm_text("question"), F.lit(""))
+    label = (kind == "FDA label context") & has("input_molecule_or_context")
+    checks = {
+        "label_context": label, "label_context_primary": label, "label_context_secondary": task == "multihop",
+        "molecule_structure": has("decoded_smiles") | kind.isin("SELFIES", "SMILES"), "property_definition": task.contains("property") | question.contains("property"),
+        "design_requirement": F.coalesce(F.trim("input_molecule_or_context") != "", F.lit(False)), "question_entities": F.coalesce(F.trim("question") != "", F.lit(False)), "biomedical_fact": F.lit(False),
+    }
+    m = F.create_map(*[x for k, v in checks.items() for x in (F.lit(k), v)])
+    x = q.join(F.broadcast(R.skill_table(spark).select("skill", "required_slots")), "skill").select("skill", F.explode("required_slots").alias("slot"), m.alias("m"))
+    return x.groupBy("skill", "slot").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m")[F.col("slot")]).alias("filled"))
+
+
+# --- retrieval ---------------------------------------------------------------------------------
+
+
+@query
+def bm25_topk(spark, d):
+    return _long(Q.bm25_topk(_items(spark, d), _facts(spark, d)), "rank").withColumn("score", F.col("score").cast("double"))
+
+
+@query
+def bm25_lexical_rank(spark, d):
+    return _long(Q.bm25_topk(_items(spark, d), _facts(spark, d), k=50, larger_first=True, rounded=False), "rank").select("qid", "rank", "fact_idx")
+
+
+@query
+def candidate_cap(spark, d):
+    f = _facts(spark, d)
+    post = Q.postings(f)
+    t = Q.query_terms(_items(spark, d), Q.inverse_frequency(post, Q.sizes(f)[0]))
+    c = Q.capped_terms(t, post, 200)
+    return c.groupBy("qid").agg(F.count(F.lit(1)).alias("n_candidates"), F.max("first_term").cast("long").alias("last_term"))
+
+
+def _retrieve(spark, d, method, override="none", with_skills=True):
+    q = _qa(spark, d).withColumn("skill", R.routed(override))
+    r = Q.retrieve(q, _facts(spark, d), method, 8, R.skill_table(spark) if with_skills else None)
+    return _long(r, "rank").withColumn("score", F.col("score").cast("double"))
+
+
+@query
+def kg_retrieve(spark, d):
+    return _retrieve(spark, d, "kg")
+
+
+@query
+def hybrid_retrieve(spark, d):
+    return _retrieve(spark, d, "hybrid")
+
+
+@query
+def skill_hybrid_retrieve(spark, d):
+    return _retrieve(spark, d, "skill_hybrid")
+
+
+@query
+def bm25_routed(spark, d):
+    return _retrieve(spark, d, "bm25_skillrouted")
+
+
+@query
+def bm25_routed_predicted(spark, d):
+    return _retrieve(spark, d, "bm25_skillrouted", "predicted")
+
+
+@query
+def bm25_routed_random(spark, d):
+    return _retrieve(spark, d, "bm25_skillrouted", "random")
+
+
+@query
+def bm25_routed_wrong(spark, d):
+    return _retrieve(spark, d, "bm25_skillrouted", "wrong")
+
+
+def _vectors(spark, d):
+    v = cut(Q.clean_vectors(table(spark, d, "fact_vectors")))
+    return v, v.where("fact_idx % 20 = 0").select(F.col("fact_idx").alias("qid"), "v", F.array("source").alias("allow"))
+
+
+@query
+def dense_topk(spark, d):
+    v, q = _vectors(spark, d)
+    return _long(Q.dense_topk(q, v), "rank")
+
+
+@query
+def dense_locked(spark, d):
+    v, q = _vectors(spark, d)
+    return _long(Q.dense_topk(q, v.where("source = 'fdarxbench_label'")), "rank")
+
+
+@query
+def oracle_topk(spark, d):
+    """The search inside the allowed sources of each query (here the source of its own fact)."""
+    v, q = _vectors(spark, d)
+    return _long(Q.dense_topk(q, v, allowed="allow"), "rank")
+
+
+@query
+def dense_routed_pool(spark, d):
+    """The first 300 of all, then those of allowed sources."""
+    v, q = _vectors(spark, d)
+    return _long(Q.routed_pool(Q.dense_topk(q, v, k=300), q, v), "rank")
+
+
+def _two_lists(spark, d):
+    f, q = _facts(spark, d), _items(spark, d)
+    a = Q.bm25_topk(q, f, k=50, larger_first=True, rounded=False)
+    n, avgdl = Q.sizes(f)
+    b = Q.bm25_topk(q.withColumn("qtext", F.col("gold_answer")), f, k=50)
+    return cut(a), cut(b)
+
+
+@query
+def rrf_fusion(spark, d):
+    return _long(Q.fuse(*_two_lists(spark, d)), "rank")
+
+
+@query
+def rerank_overlap(spark, d):
+    """The fused first 50, reranked by the overlap of their tokens with the query."""
+    return _long(Q.rerank(Q.fuse(*_two_lists(spark, d), k=50), _items(spark, d), _facts(spark, d)), "rank")
+
+
+@query
+def evidence_blocks(spark, d):
+    f = _facts(spark, d)
+    found = Q.bm25_topk(_items(spark, d), f)
+    return _long(Q.evidence_block(found, f, 600), "n_lines")
+
+
+@query
+def prompts(spark, d):
+    """Prompt of each record with its routed skill, steps, answer format and evidence."""
+    return _prompts(spark, d, frozenset())
+
+
+@query
+def prompts_ablated(spark, d):
+    return _prompts(spark, d, R.parse_ablate("solving_steps,evidence_org"))
+
+
+def _prompts(spark, d, ablate):
+    f = _facts(spark, d)
+    q = _qa(spark, d).withColumn("skill", R.route())
+    found = Q.retrieve(q, f, "bm25_skillrouted", 3, R.skill_table(spark)).withColumn("score", F.col("score").cast("decimal(20,4)"))
+    b = Q.evidence_block(found, f, 3500)
+    s = R.skill_table(spark).select("skill", "answer_format", "steps")
+    x = q.join(b, "qid", "left").join(F.broadcast(s), "skill")
+    steps = F.transform("steps", lambda t, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), t))
+    none = F.array().cast("array<string>")
+    context = F.coalesce("input_molecule_or_context", F.lit(""))
+    lines = F.concat(
+        F.array(F.lit("You are answering a drug and molecular QA task with external knowledge."), F.lit(""), F.lit("Use the provided information to answer the question. If the answer is not available, respond: Information not found!"), F.lit(""), F.lit("Answer in the same style as the gold answer."), F.lit("")),
+        none if "skill_id" in ablate else F.array(F.concat(F.lit("Skill: "), "skill")),
+        none if "solving_steps" in ablate else F.concat(F.array(F.lit("How to solve:")), steps),
+        none if "answer_format" in ablate else F.array(F.concat(F.lit("Answer format: "), "answer_format")),
+        F.when(context != "", F.array(F.lit(""), F.lit("Known information:"), context)).otherwise(none),
+        F.array(F.lit(""), F.lit("Retrieved KB evidence:" if "evidence_org" in ablate else "Skill-based retrieved knowledge:"), F.coalesce("block", F.lit("No KB evidence retrieved.")), F.lit(""), F.concat(F.lit("Question: "), F.coalesce("question", F.lit("None"))), F.lit("Answer:")),
+    )
+    return x.select("qa_id", "skill", F.array_join(lines, "\n").alias("prompt"), F.trim(F.coalesce("gold_answer", F.lit(""))).alias("answer"))
+
+
+# --- knowledge bank ----------------------------------------------------------------------------
+
+
+@query
+def alias_index(spark, d):
+    return N.alias_counts(_facts(spark, d))
+
+
+def _wanted(spark, d):
+    return _qa(spark, d).select(T.norm_text("drug_name").alias("name")).where("name <> ''").distinct()
+
+
+@query
+def kg_edges_capped(spark, d):
+    return N.capped_edges(N.graph_edges(_facts(spark, d)), _wanted(spark, d), 10)
+
+
+@query
+def kg_evidence(spark, d):
+    return _long(N.graph_evidence(N.graph_edges(_facts(spark, d)), _wanted(spark, d)), "rank")
+
+
+@query
+def kg_evidence_attached(spark, d):
+    """Evidence of the names that a record's text holds: distinct facts, the first six by fact."""
+    ev = N.graph_evidence(N.graph_edges(_facts(spark, d)), _wanted(spark, d)).select("name", "fact_idx")
+    held = N.contained_names(_qa(spark, d).select("qid", "qtext"), ev.select("name").distinct())
+    x = held.join(ev, "name").select("qid", "fact_idx").distinct()
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("fact_idx")).cast("long")).where("rank <= 6")
+
+
+@query
+def molecule_evidence(spark, d):
+    return _long(N.same_molecule(_qa(spark, d)), "rank")
+
+
+@query
+def collision_probe(spark, d):
+    return N.collisions(_facts(spark, d), least=0.05)
+
+
+# --- scores and reports ------------------------------------------------------------------------
+
+
+@query
+def record_scores(spark, d):
+    return _scores(spark, d).select("pred_id", "exact", "normalized_exact", F.round("token_f1", 6).alias("token_f1"), "numeric_match", F.round("utility", 6).alias("utility"))
+
+
+@query
+def eval_summary(spark, d):
+    return S.eval_summary(_scores(spark, d), "dataset", "method_name")
+
+
+@query
+def grouping_sets_report(spark, d):
+    return S.report_with_totals(_scores(spark, d))
+
+
+@query
+def macro_average(spark, d):
+    return S.macro_average(_scores(spark, d))
+
+
+@query
+def weighted_mean(spark, d):
+    s = _scores(spark, d).groupBy("method_name", "task_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("numeric_match").cast("double")).alias("numeric"))
+    return S.weighted_mean(s, "method_name", "numeric", "n")
+
+
+@query
+def performance_by_type(spark, d):
+    s = _scores(spark, d)
+    return s.groupBy("model_name", "dataset", "question_type", "method_name", T.half_split(F.col("pred_id").cast("string")).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("utility"), 6).alias("utility"))
+
+
+@query
+def policy_select_holdout(spark, d):
+    return S.select_policies(_scores(spark, d), T.half_split(F.col("pred_id").cast("string")))
+
+
+@query
+def method_model_pivot(spark, d):
+    s = _scores(spark, d)
+    models = [r[0] for r in s.select("model_name").distinct().orderBy("model_name").limit(50).collect() if r[0]]
+    return S.pivot_cells(s.where("model_name is not null"), models).unpivot(["method_name"], models, "model_name", "cell")
+
+
+@query
+def ordering_check(spark, d):
+    return S.ordering_check(_scores(spark, d), "bm25", "hybrid", "rrf", 0.05)
+
+
+@query
+def completeness_anti(spark, d):
+    return S.missing_cells(_scores(spark, d))
+
+
+@query
+def answer_token_recall(spark, d):
+    """Recall of the gold answer's words in the record's own context."""
+    q = _qa(spark, d)
+    o = S.overlap(q, "qa_id", S.recall_words("input_molecule_or_context"), S.recall_words("gold_answer"))
+    return o.select("qa_id", F.round(F.when(F.col("n_b") > 0, F.col("common") / F.col("n_b")).otherwise(0.0), 6).alias("recall"))
+
+
+@query
+def set_recall(spark, d):
+    """Share of the distinct gold words that the context has; null where there is no gold word."""
+    q = _qa(spark, d)
+    g, e = F.array_distinct(S.words("gold_answer", "")), F.array_distinct(S.words("input_molecule_or_context", ""))
+    return q.select("qa_id", F.round(F.when(F.size(g) > 0, F.size(F.array_intersect(g, e)) / F.size(g)), 6).alias("recall"))
+
+
+@query
+def multiset_intersection(spark, d):
+    p = S.latest(table(spark, d, "predictions"))
+    return _long(S.overlap(p, "pred_id", S.words("prediction"), S.words("reference_output")), "n_a", "n_b", "common")
+
+
+# --- analyses ----------------------------------------------------------------------------------
+
+
+def _mix(spark, d, by="source"):
+    f, q = _facts(spark, d), _items(spark, d)
+    found = Q.bm25_topk(q, f)
+    return A.source_mix(found, f, q.select("qid", F.concat_ws("|", "dataset", "task_type").alias("grp")), by)
+
+
+@query
+def source_mix(spark, d):
+    return _mix(spark, d)
+
+
+@query
+def relation_mix(spark, d):
+    return _mix(spark, d, "relation")
+
+
+@query
+def heterogeneity(spark, d):
+    return A.heterogeneity(A.distribution(_mix(spark, d)))
+
+
+@query
+def js_divergence(spark, d):
+    return A.divergence(A.distribution(_mix(spark, d)))
+
+
+@query
+def planning_metrics(spark, d):
+    f, q = _facts(spark, d), _qa(spark, d)
+    q = q.withColumn("skill", R.route()).withColumn("allow", R.allowed_sources(F.col("skill")))
+    found = Q.retrieve(q, f, "hybrid", 8, R.skill_table(spark))
+    m = A.planning(found, f, q).join(q.select("qid", "skill"), "qid")
+    return m.groupBy("skill").agg(F.count(F.lit(1)).alias("n_records"), *(F.round(F.avg(c), 4).alias(c) for c in ("source_precision", "wrong_source_rate", "source_entropy_bits", "skill_source_agreement")))
+
+
+@query
+def field_coverage(spark, d):
+    return A.field_coverage(table(spark, d, "qa_records").drop("created_at", "loaded_at"), "source")
+
+
+@query
+def task_inventory(spark, d):
+    q = _qa(spark, d)
+    size = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != ""))
+    by = ["source", "task_type", "input_type"]
+    shapes = q.groupBy(*by, T.answer_shape("gold_answer").alias("shape")).agg(F.count(F.lit(1)).alias("c")).groupBy(*by).agg(T.counter_cell("shape", "c").alias("answer_shapes"))
+    rest = q.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.col("decoded_smiles") != "", F.lit(False)).cast("double")), 4).alias("with_smiles"), F.round(F.avg(size("question").cast("double")), 4).alias("question_words"), F.round(F.avg(size("gold_answer").cast("double")), 4).alias("answer_words"))
+    return rest.join(shapes, [rest[c].eqNullSafe(shapes[c]) for c in by]).select(*(rest[c] for c in by), "n", "with_smiles", "question_words", "answer_words", "answer_shapes")
+
+
+@query
+def answer_shape_counts(spark, d):
+    """The counter cells of the inventory, read back and summed."""
+    t = task_inventory(spark, d).select(F.explode(T.parse_counter("answer_shapes")).alias("x"))
+    return t.groupBy(F.col("x.k").alias("shape")).agg(F.sum("x.n").alias("n"))
+
+
+@query
+def text_cluster_quality(spark, d):
+    q = _qa(spark, d).withColumn("skill", R.route())
+    c = A.text_clusters(q.select("qid", T.query_text("question", None, "input_molecule_or_context", "input_type", "task_type").alias("text")) if False else q.select("qid", F.concat_ws(" ", "task_type", "input_type", "question").alias("text")), len(R.SKILLS))
+    return A.cluster_quality(c.join(q.select("qid", "skill"), "qid"))
+
+
+@query
+def arrivals(spark, d):
+    return arrival_counts(_facts(spark, d))
+
+
+# --- variants and splits -----------------------------------------------------------------------
+
+
+@query
+def noise_injected(spark, d):
+    return V.noise(_facts(spark, d), 0.5)
+
+
+@query
+def decoys_made(spark, d):
+    return _long(V.decoys(_facts(spark, d), 2, 0.3), "copy", "n_tokens")
+
+
+@query
+def perturbed_counts(spark, d):
+    f = _facts(spark, d)
+    both = V.perturbed(f, "noisy").withColumn("mode", F.lit("noisy")).unionByName(V.perturbed(f, "decoy").withColumn("mode", F.lit("decoy")))
+    return both.groupBy("mode", "source", "injected").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def split_by_hash(spark, d):
+    return V.split_by_hash(_qa(spark, d), "qa_id", "task_type", 50, 10)
+
+
+@query
+def identity_holdout(spark, d):
+    return V.identity_holdout(_qa(spark, d), "qa_id", V.identity_key("drug_name", "decoded_smiles"))
+
+
+@query
+def disjoint_proof(spark, d):
+    return V.split_summary(cut(identity_holdout(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_report)}
+@query
+def skill_holdout(spark, d):
+    q = _qa(spark, d).withColumn("skill", R.route())
+    x = q.select("qa_id", F.col("skill").alias("identity"), F.when(F.col("skill") == "molecule_design", "test").otherwise("train").alias("split"))
+    return V.split_summary(x)
