@@ -25,6 +25,11 @@ def norm_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(col(c)), BLANK + "+", " "))
 
 
+def strip(c: Column | str) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
+
+
 def metric_text(c: Column | str, null: str | None = None) -> Column:
     """norm_text without ASCII punctuation; null becomes `null` (the word "none" for evaluation, empty for analysis)."""
     c = col(c) if null is None else F.coalesce(col(c), F.lit(null))
@@ -104,31 +109,31 @@ def half_split(c: Column | str) -> Column:
 
 
 def first_number(c: Column | str) -> Column:
-    return F.expr("try_cast(null as double)") if c is None else F.nullif(F.regexp_extract(col(c), NUMBER, 0), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(col(c), NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def is_number(c: Column | str) -> Column:
-    return F.coalesce(F.regexp(F.trim(col(c)), F.lit(f"^(?:{NUMBER})$")), F.lit(False))
+    return F.coalesce(F.regexp(strip(c), F.lit(f"^(?:{NUMBER})$")), F.lit(False))
 
 
 def numeric_match(prediction: Column | str, reference: Column | str, abs_tol: float = 1e-3, rel_tol: float = 0.05) -> Column:
     """Null where the reference is no number; false where the prediction has none; else whether they are close."""
-    p, r = first_number(prediction), first_number(F.trim(col(reference)))
+    p, r = first_number(prediction), first_number(strip(reference))
     return F.when(is_number(reference), F.coalesce(F.abs(p - r) <= F.greatest(F.lit(abs_tol), F.abs(r) * rel_tol), F.lit(False)))
 
 
 def probable_smiles(c: Column | str) -> Column:
-    t = F.trim(col(c))
+    t = strip(c)
     return F.coalesce(F.length(t).between(4, 300) & F.regexp(t, F.lit(SMILES)) & F.regexp(t, F.lit(r"[=#\[\]()]")), F.lit(False))
 
 
 def input_type(source: Column | str, value: Column | str) -> Column:
-    v = F.trim(F.coalesce(col(value), F.lit("")))
+    v = strip(F.coalesce(col(value), F.lit("")))
     return F.when(v == "", "none").when(col(source).startswith("drugchat"), "SMILES").when(v.startswith("["), "SELFIES").when(probable_smiles(v), "SMILES").otherwise("text")
 
 
 def answer_shape(c: Column | str) -> Column:
-    a = F.trim(F.coalesce(col(c), F.lit("")))
+    a = strip(F.coalesce(col(c), F.lit("")))
     return (
         F.when(a == "", "empty")
         .when(F.regexp(a, F.lit(f"^(?:{NUMBER})$")), "numeric")

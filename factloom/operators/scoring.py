@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.routing import question_type
-from factloom.functions.text import RECALL_STOPWORDS, col, metric_text, numeric_match
+from factloom.functions.text import RECALL_STOPWORDS, col, metric_text, numeric_match, strip
 
 
 def latest(rows: DataFrame, key: str = "pred_id", version: str = "loaded_at") -> DataFrame:
@@ -38,7 +38,7 @@ def score(preds: DataFrame) -> DataFrame:
     p = latest(preds)
     o = overlap(p, "pred_id", words("prediction"), words("reference_output"))
     x = p.select("pred_id", "dataset", "task_type", "model_name", "method_name", "prediction", "reference_output").join(o, "pred_id")
-    none = lambda c: F.trim(F.coalesce(F.col(c), F.lit("None")))
+    none = lambda c: strip(F.coalesce(F.col(c), F.lit("None")))
     x = x.withColumns(
         {
             "exact": none("prediction") == none("reference_output"),
