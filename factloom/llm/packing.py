@@ -57,7 +57,7 @@ def pack(sizes: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", key, "piece"], ascending=[False, True, True], kind="stable")
         own = first_fit_decreasing(pdf["n_tokens"].tolist(), capacity)
-        return pdf.assign(container=(pdf["_g"].astype("int64") << 32) + own)[[key, "piece", "n_tokens", "container"]]
+        return pdf.assign(container=pdf["_g"].astype("int64") * (1 << 32) + own)[[key, "piece", "n_tokens", "container"]]
 
     grouped = pieces.withColumn("_g", F.pmod(F.xxhash64(key, "piece", F.lit(7)), F.lit(groups)))
     return grouped.groupBy("_g").applyInPandas(fill, f"`{key}` {kind}, piece int, n_tokens long, container long")
