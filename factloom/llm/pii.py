@@ -272,7 +272,7 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
     draw = found.where(F.pmod(F.xxhash64(key, "start", "pii_type"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(total, 1)))).select("pii_type", "votes", "feats").limit(2 * sample).collect()
     for t in seen:
         own = [(r["feats"], soft[(t, tuple(r["votes"]))]) for r in draw if r["pii_type"] == t]
-        model.classifiers[t] = Ngrams().fit(np.array([f for f, _ in own]), np.array([y for _, y in own]), rounds=4) if own else Ngrams()
+        model.classifiers[t] = Ngrams().fit(np.array([f for f, _ in own]), np.array([y for _, y in own]), rounds=int(np.clip(8000 // len(own), 4, 200))) if own else Ngrams()
     if not found_too:
         return model, found
     ready = spark.sparkContext.broadcast(model)
