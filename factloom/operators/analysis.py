@@ -72,9 +72,9 @@ def field_coverage(rows: DataFrame, by: str) -> DataFrame:
             c = F.col(name)
             has = c.isNotNull() & (F.size(c) > 0 if kind.startswith(("array", "map")) else c != "" if kind == "string" else F.lit(True))
             tests.append(F.sum(F.when(has, 1).otherwise(0)).alias(name))
-    wide = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *tests)
+    wide = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"), *tests)
     fields = [n for n in rows.columns if n != by]
-    return wide.unpivot([by, "n"], fields, "field", "present")
+    return wide.unpivot([by, "_rows"], fields, "field", "present").withColumnRenamed("_rows", "n")
 
 
 def cluster_quality(labelled: DataFrame) -> DataFrame:

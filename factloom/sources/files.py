@@ -59,7 +59,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The named columns, missing values as empty text."""
-    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns)).write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_markdown(small: DataFrame, path: str, title: str, most: int = 1000) -> str:
