@@ -65,6 +65,14 @@ RUN = re.compile(rf"(?<![\w@.#/-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:(?:,[ \xa0]|[ \xa0])
 _TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señor señora sr sra don doña nurse sister schwester pfleger patient patiente patientin paciente doctor docteur doctora professor sir lady".split())
 
 
+# Ends of the text before a name that are worth the patterns above.
+_STOPS = " :=|.,\"'(<#-\t\xa0"
+_TITLE_ENDS = tuple(sorted(_TITLES | {"m"}))
+_CUE_ENDS = tuple("signed signé signature gezeichnet firmado name nom nombre contact_person contact witness by to with wishes grüße saludos cordialement regards duty sincerely reporter author".split())
+_STUDY_ENDS = tuple("study trial model lot batch code the cohort estudio studie étude project system".split())
+_AT_SIGN = re.compile(r"[＠]|[\[({]@?at[\])}]|\w\s?@\s?\w|\sdot\s", re.I)
+
+
 def _hash(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) & 0x1FFFF
 
@@ -109,7 +117,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], taken: list
                     break
                 elif len(word) > 1 and word not in given and families and not comma:
                     # A second family-like token: the first may be an unknown given name, a third is none.
-                    if sum(len(p[2].rstrip(".")) > 1 for p in part) >= 2 or any(p[2].casefold() in given or len(p[2]) == 2 for p in part):
+                    if sum(len(p[2].rstrip(".")) > 1 for p in part) >= 2 or part[0][2].casefold() in given or len(part[0][2]) == 2:
                         break
                 if len(word) > 1 and word not in given:
                     families += 1
@@ -122,16 +130,25 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], taken: list
             a, b = part[0][0], part[-1][1]
             at += len(part)
             value = text[a:b]
-            left, right, w1, w2 = _around(text, a, b)
+            left, right = text[max(0, a - 40) : a].replace("\n", " "), text[b : b + 40].replace("\n", " ")
             known = any(p[2].casefold() in given for p in part)
             words = [p[2] for p in part if len(p[2].rstrip(".")) > 1]
-            title, before, after = bool(NAME_TITLE.search(left)), bool(NAME_BEFORE.search(left)), bool(NAME_AFTER.match(right))
-            against = bool(NOT_NAME_AFTER.match(right) or (NOT_NAME_BEFORE.search(left) and not title))
+            title = before = study = False
+            end = left[-24:].casefold().rstrip(_STOPS)
+            if end.endswith(_TITLE_ENDS):
+                title = bool(NAME_TITLE.search(left))
+            if end.endswith(_CUE_ENDS):
+                before = bool(NAME_BEFORE.search(left))
+            if end.endswith(_STUDY_ENDS):
+                study = bool(NOT_NAME_BEFORE.search(left))
+            after = bool(NAME_AFTER.match(right))
+            against = bool(NOT_NAME_AFTER.match(right) or (study and not title))
             pair = len(words) > 1 and (comma or known or any(w.isupper() for w in words) != all(w.isupper() for w in words) or len(part) > len(words))
             if not (known or title or before or after or pair or len(words) > 1):
                 continue
             if re.match(r"[-–]\d|\d", right):
                 continue
+            w1, w2 = _around(text, a, b)[2:]
             votes = [1 if known else -1, 1 if title else -1, 1 if before else -1, 1 if after else -1, 1 if pair or len(part) > len(words) else 0 if len(words) == 1 and not title else -1, 0 if against else -1]
             tail = next((w for w in reversed(words) if w.casefold() not in given), words[-1]).casefold()
             yield a, b, value, votes, (tail[:3], tail[-3:], tail[-4:], known, len(part)), w1, w2
@@ -141,7 +158,7 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list
     """(start, end, type, value, votes, features, cluster) of each candidate; candidates of a cluster exclude each other."""
     out = []
     taken: list[tuple[int, int]] = []
-    for m in EMAIL.finditer(text):
+    for m in EMAIL.finditer(text) if _AT_SIGN.search(text) else ():
         left, right, w1, w2 = _around(text, m.start(), m.end())
         plain = bool(re.search("[@＠]", m[0]))
         votes = [1 if plain else -1, 1 if re.search(r"\(at\)|\[at\]|\{at\}|\[dot\]|\(dot\)", m[0], re.I) or not re.search(r"\s", m[0]) else -1, 1 if re.search(r"[\w)\]]\.?[a-z]{2,}$", m[0]) else 0]

@@ -110,6 +110,8 @@ NAMES = frozenset(["kyvi", "joric"])
         ("Elle habite 33, avenue du Puits, 18206 Lessignac.", "address", "33, avenue du Puits, 18206 Lessignac"),
         ("Signed: FENNOW, Kyvi\nThe end", "name", "FENNOW, Kyvi"),
         ("Mme R. Thorbova a signalé", "name", "R. Thorbova"),
+        ("Herr Libet K. Pellhurst klagte", "name", "Libet K. Pellhurst"),
+        ("Gezeichnet: A. Svedaux-Bravetti Telefon 030", "name", "A. Svedaux-Bravetti"),
         ("Then Kyvi QUAROVER-MARLOVA asked whether", "name", "Kyvi QUAROVER-MARLOVA"),
     ],
 )
