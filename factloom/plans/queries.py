@@ -511,6 +511,41 @@ def arrivals(spark, d):
     return arrival_counts(_facts(spark, d))
 
 
+@query
+def slot_fill_status(spark, d):
+    """Required slots of each record that its input and its routed evidence fill."""
+    f, s = _facts(spark, d), R.skill_table(spark)
+    q = _qa(spark, d).withColumn("skill", R.route())
+    found = Q.retrieve(q, f, "bm25_skillrouted", 3, s)
+    ev = found.join(f.select("fact_idx", "source", "relation"), "fact_idx").groupBy("qid").agg(
+        F.count(F.lit(1)).alias("n"), F.max((F.coalesce(F.col("source") == "fdarxbench_label", F.lit(False)) | F.coalesce(F.col("relation") == "label_context", F.lit(False)))).alias("label"),
+        F.max(F.coalesce(F.col("source").isin("primekg", "drugchat_pubchem", "drugchat_chembl"), F.lit(False))).alias("fact"),
+    )
+    x = q.join(ev, "qid", "left")
+    no = F.lit(False)
+    has = lambda c: F.coalesce(F.col(c) != "", no)
+    kind, task, question = F.coalesce("input_type", F.lit("")), F.coalesce(T.norm_text("task_type"), F.lit("")), F.coalesce(T.norm_text("question"), F.lit(""))
+    label = F.coalesce("label", no)
+    first = ((kind == "FDA label context") & has("input_molecule_or_context")) | label
+    checks = {
+        "label_context": first, "label_context_primary": first, "label_context_secondary": label & (F.coalesce("n", F.lit(0)) >= 2),
+        "molecule_structure": has("decoded_smiles") | kind.isin("SELFIES", "SMILES"), "property_definition": task.contains("property") | question.contains("property"),
+        "design_requirement": F.coalesce(F.trim("input_molecule_or_context") != "", no), "question_entities": F.coalesce(F.trim("question") != "", no), "biomedical_fact": F.coalesce("fact", no),
+    }
+    m = F.create_map(*[y for k, v in checks.items() for y in (F.lit(k), v)])
+    x = x.join(F.broadcast(s.select("skill", "required_slots")), "skill").withColumn("m", m)
+    filled = F.filter("required_slots", lambda r: F.element_at("m", r))
+    return x.select("qa_id", "skill", F.array_join(filled, ",").alias("filled_slots"), F.array_join(F.array_except("required_slots", filled), ",").alias("missing_slots"), (F.size(filled) == F.size("required_slots")).alias("all_required_filled"))
+
+
+@query
+def method_deltas(spark, d):
+    """What each method gives over the lexical one, a model and question type."""
+    m = _scores(spark, d).groupBy("model_name", "question_type", "method_name").agg(F.count(F.lit(1)).alias("n"), F.avg("token_f1").alias("f"), F.avg(F.col("numeric_match").cast("double")).alias("x"))
+    base = m.where("method_name = 'bm25'").select("model_name", "question_type", F.col("f").alias("bf"), F.col("x").alias("bx"))
+    return m.where("method_name <> 'bm25'").join(base, ["model_name", "question_type"]).select("model_name", "question_type", "method_name", "n", F.round(F.col("f") - F.col("bf"), 6).alias("f1_delta"), F.round(F.col("x") - F.col("bx"), 6).alias("numeric_delta"))
+
+
 # --- variants and splits -----------------------------------------------------------------------
 
 

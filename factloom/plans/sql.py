@@ -175,7 +175,18 @@ _slots = {
     "design_requirement": "trim(input_molecule_or_context) <> ''", "question_entities": "trim(question) <> ''", "biomedical_fact": "false",
 }
 
+_filled = {
+    "label_context": "(input_type = 'FDA label context' and input_molecule_or_context <> '') or coalesce(label, false)", "label_context_primary": "(input_type = 'FDA label context' and input_molecule_or_context <> '') or coalesce(label, false)",
+    "label_context_secondary": "coalesce(label, false) and coalesce(n, 0) >= 2", "molecule_structure": _slots["molecule_structure"], "property_definition": _slots["property_definition"],
+    "design_requirement": _slots["design_requirement"], "question_entities": _slots["question_entities"], "biomedical_fact": "coalesce(fact, false)",
+}
 SQL = {
+    "slot_fill_status": retrieve("bm25_skillrouted").rsplit(" select qid, rank", 1)[0] + """, ev as (select qid, count(*) as n, bool_or(coalesce(facts.source = 'fdarxbench_label', false) or coalesce(facts.relation = 'label_context', false)) as label,
+ bool_or(coalesce(facts.source in ('primekg', 'drugchat_pubchem', 'drugchat_chembl'), false)) as fact from e join facts using (fact_idx) where rank <= 3 group by 1),
+ x as (select qa_id, skill.skill as skill, required_slots, list_filter([""" + ", ".join(f"case when coalesce({v}, false) then {q(k)} end" for k, v in _filled.items()) + """], lambda z: z is not null) as ok from qa join routed on routed.qid = qa.qa_id join skill on skill.skill = routed.skill left join ev on ev.qid = qa.qa_id)
+ select qa_id, skill, array_to_string(list_filter(required_slots, lambda r: list_contains(ok, r)), ',') as filled_slots, array_to_string(list_filter(required_slots, lambda r: not list_contains(ok, r)), ',') as missing_slots, list_has_all(ok, required_slots) as all_required_filled from x""",
+    "method_deltas": f"""with {SCORE}, m as (select model_name, question_type, method_name, count(*) as n, avg(token_f1) as f, avg(cast(numeric_match as int)) as x from scores group by 1, 2, 3)
+ select m.model_name as model_name, m.question_type as question_type, m.method_name as method_name, m.n as n, round(m.f - b.f, 6) as f1_delta, round(m.x - b.x, 6) as numeric_delta from m join m b on b.method_name = 'bm25' and m.method_name <> 'bm25' and m.model_name = b.model_name and m.question_type = b.question_type""",
     "p5_found": f"with {_KEYED} select source, relation from k where source is not null and relation is not null group by 1, 2 having count(*) >= 0.04 * (select count(*) from facts)",
     "p5_report": f"""with {_KEYED} select source, relation, cast(count(*) as bigint) as n_rows, count(distinct id) as n_ids, quantile_disc(loaded_at, 0.5) as median_loaded, quantile_disc(loaded_at, 0.9) as p90_loaded,
  max(loaded_at) as latest_loaded, round(count(*) / (select count(*) from facts), 6) as share from k where source is not null and relation is not null group by 1, 2""",
