@@ -21,6 +21,8 @@ TYPES = ["email", "phone", "id_number", "address", "name"]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Candidates that the span classifier is trained on, about; drawn by a hash.
 SAMPLE = 60_000
+#: Given names that are sent to every task, at most.
+MOST_NAMES = 2_000_000
 #: A word in more than this part of the documents is a common word.
 COMMON = 0.004
 FEATURES = 12
@@ -253,7 +255,11 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    given = frozenset(r[0].strip().casefold() for r in names.select(names.columns[0]).where(F.col(names.columns[0]).isNotNull()).limit(2_000_000).collect())
+    column = "given_name" if "given_name" in names.columns else names.columns[0]
+    listed = names.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_NAMES + 1).collect()
+    if len(listed) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} given names: too many to send to every task")
+    given = frozenset(r[0].strip().casefold() for r in listed)
     have = docs.where(F.length(text) > 0).select(key, text)
     words = have.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]{2,}"), F.lit(0)))).alias("w"))
     n = have.count()
