@@ -93,6 +93,13 @@ def test_defects_of_a_table(spark):
     assert one_defect(defects(df.limit(0))).count() == 0
 
 
+def test_copies_of_a_cut_answer_are_found():
+    q, short = "What is the pressure of the upper valve?", "The heat of the lower"
+    lang = Languages(SENTENCES)
+    once, often = (votes(q, short, "t", Endings(SENTENCES + [short] * n), lang)[14:] for n in (1, 200))
+    assert once == often and 1 in often
+
+
 NAMES = frozenset(["kyvi", "joric"])
 
 
