@@ -72,6 +72,7 @@ _STOPS = " :=|.,\"'(<#-\t\xa0"
 _TITLE_ENDS = tuple(sorted(_TITLES | {"m"}))
 _CUE_ENDS = tuple("signed signé signature gezeichnet firmado name nom nombre contact_person contact witness by to with wishes grüße saludos cordialement regards duty sincerely reporter author".split())
 _STUDY_ENDS = tuple("study trial model lot batch code the cohort estudio studie étude project system".split())
+_EMAIL_LIKE = r"(?<![^\s@＠\[({])[^\s@＠\[({]++\s?(?:[@＠]|[\[({](?:at|@)[\])}])\s?\S+|(?<!\S)\S++\sat\s\S++\sdot\s\S+"
 _AT_SIGN = re.compile(r"[＠]|[\[({]@?at[\])}]|\w\s?@\s?\w|\sdot\s", re.I)
 
 
@@ -90,8 +91,36 @@ def _features(kind: str, value: str, w1: list[str], w2: list[str], extra: tuple,
     return [_hash(kind, i, *x) for i, x in enumerate([(l[1],), (l[0], l[1]), (r[0],), (r[0], r[1]), (l[1], r[0]), (shape,), (*votes,), *[(e,) for e in extra]][:FEATURES])] + [_hash(kind, "pad", i) for i in range(FEATURES - 7 - len(extra))]
 
 
-def _names(text: str, given: frozenset[str], common: frozenset[str], taken: list[tuple[int, int]]) -> Iterator[tuple]:
-    """Candidate names: (start, end, votes, extra features)."""
+def _cues(text: str, a: int) -> tuple[str, bool, bool, bool]:
+    """The text before a name, and whether it ends in a title, a cue of a name or a word before what is no name."""
+    left = text[max(0, a - 40) : a].replace("\n", " ")
+    end = left[-24:].casefold().rstrip(_STOPS)
+    return left, end.endswith(_TITLE_ENDS) and bool(NAME_TITLE.search(left)), end.endswith(_CUE_ENDS) and bool(NAME_BEFORE.search(left)), end.endswith(_STUDY_ENDS) and bool(NOT_NAME_BEFORE.search(left))
+
+
+def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str], common: frozenset[str]) -> Iterator[tuple]:
+    a, b = part[0][0], part[-1][1]
+    value, right = text[a:b], text[b : b + 40].replace("\n", " ")
+    known = any(p[2].casefold() in given for p in part)
+    words = [p[2] for p in part if len(p[2].rstrip(".")) > 1]
+    _, title, before, study = _cues(text, a)
+    after = bool(NAME_AFTER.match(right))
+    against = bool(NOT_NAME_AFTER.match(right) or (study and not title))
+    pair = len(words) > 1 and (comma or known or any(w.isupper() for w in words) != all(w.isupper() for w in words) or len(part) > len(words))
+    if not (known or title or before or after or pair or len(words) > 1):
+        return
+    if re.match(r"[-–]\d|\d", right):
+        return
+    w1, w2 = _around(text, a, b)[2:]
+    plain = any(w.casefold() in common and w.casefold() not in given for w in words)
+    votes = [1 if known else -1, 1 if title else -1, 1 if before else -1, 1 if after else -1, 1 if pair or len(part) > len(words) else 0 if len(words) == 1 and not title else -1, 0 if against else -1, 0 if plain else -1]
+    tail = next((w for w in reversed(words) if w.casefold() not in given), words[-1]).casefold()
+    yield a, b, value, votes, (tail[:3], tail[-3:], tail[-4:], known, len(part)), w1, w2
+
+
+def _names(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str], taken: list[tuple[int, int]]) -> Iterator[tuple]:
+    """Candidate names: (start, end, votes, extra features). Common words and words that are often capitalised are parts of
+    names only beside a title, a cue or a given name; then the name is a candidate with them and without them."""
     for run in RUN.finditer(text):
         if any(a < run.end() and run.start() < b for a, b in taken):
             continue
@@ -99,17 +128,25 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], taken: list
         at = 0
         while at < len(tokens):
             low = tokens[at][2].casefold().rstrip(".")
-            plain = low in _TITLES or (low in common and low not in given)
-            if plain and not re.fullmatch(r"[A-ZÀ-Þ]\.", tokens[at][2]):
+            ordinary = (low in common or low in often) and low not in given and len(tokens[at][2].rstrip(".")) > 1
+            follows = tokens[at + 1][2] if at + 1 < len(tokens) else ""
+            turned = bool(follows) and "," in text[tokens[at][1] : tokens[at + 1][0]] and follows.casefold() in given
+            if (low in _TITLES and not re.fullmatch(r"[A-ZÀ-Þ]\.", tokens[at][2])) or (ordinary and not turned and not any(_cues(text, tokens[at][0])[1:3])):
                 at += 1
                 continue
             # As many tokens as a name may have: initials, given names, one family name, or family name, given names.
             part = [tokens[at]]
             comma = False
+            more = None
             families = int(low not in given and len(low) > 1)
             for nxt in tokens[at + 1 : at + 5]:
                 between, word = text[part[-1][1] : nxt[0]], nxt[2].casefold().rstrip(".")
-                if word in _TITLES or (word in common and word not in given and len(word) > 1):
+                if word in _TITLES:
+                    break
+                if (word in common or word in often) and word not in given and len(word) > 1:
+                    known = part[0][2].casefold() in given or len(part[0][2]) == 2
+                    if "," not in between and not comma and not ordinary and families < 2 - known and (known or any(_cues(text, part[0][0])[1:3]) or (word not in common and NAME_AFTER.match(text[nxt[1] : nxt[1] + 40]))):
+                        more = nxt
                     break
                 if "," in between:
                     if comma or len(part) != 1 or not families:
@@ -124,39 +161,19 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], taken: list
                 if len(word) > 1 and word not in given:
                     families += 1
                 part.append(nxt)
+            if more:
+                yield from _candidate(text, [*part, more], False, given, common)
             while part and re.fullmatch(r"[A-ZÀ-Þ]\.", part[-1][2]) and not comma:
                 part.pop()
             if not part:
                 at += 1
                 continue
-            a, b = part[0][0], part[-1][1]
-            at += len(part)
-            value = text[a:b]
-            left, right = text[max(0, a - 40) : a].replace("\n", " "), text[b : b + 40].replace("\n", " ")
-            known = any(p[2].casefold() in given for p in part)
-            words = [p[2] for p in part if len(p[2].rstrip(".")) > 1]
-            title = before = study = False
-            end = left[-24:].casefold().rstrip(_STOPS)
-            if end.endswith(_TITLE_ENDS):
-                title = bool(NAME_TITLE.search(left))
-            if end.endswith(_CUE_ENDS):
-                before = bool(NAME_BEFORE.search(left))
-            if end.endswith(_STUDY_ENDS):
-                study = bool(NOT_NAME_BEFORE.search(left))
-            after = bool(NAME_AFTER.match(right))
-            against = bool(NOT_NAME_AFTER.match(right) or (study and not title))
-            pair = len(words) > 1 and (comma or known or any(w.isupper() for w in words) != all(w.isupper() for w in words) or len(part) > len(words))
-            if not (known or title or before or after or pair or len(words) > 1):
-                continue
-            if re.match(r"[-–]\d|\d", right):
-                continue
-            w1, w2 = _around(text, a, b)[2:]
-            votes = [1 if known else -1, 1 if title else -1, 1 if before else -1, 1 if after else -1, 1 if pair or len(part) > len(words) else 0 if len(words) == 1 and not title else -1, 0 if against else -1]
-            tail = next((w for w in reversed(words) if w.casefold() not in given), words[-1]).casefold()
-            yield a, b, value, votes, (tail[:3], tail[-3:], tail[-4:], known, len(part)), w1, w2
+            # What follows an ordinary word may be a name without it.
+            at += 1 if ordinary else len(part)
+            yield from _candidate(text, part, comma, given, common)
 
 
-def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list[tuple]:
+def candidates(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str] = frozenset()) -> list[tuple]:
     """(start, end, type, value, votes, features, cluster) of each candidate; candidates of a cluster exclude each other."""
     out = []
     taken: list[tuple[int, int]] = []
@@ -200,7 +217,7 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list
             votes = [1 if ID_SHAPE.match(value) else -1, 1 if cue else -1, 1 if ID_AFTER.match(right) else -1, 0 if no else -1, 0 if PHONE_BEFORE.search(left) and not cue else -1]
             out.append((a, b, "id_number", value, votes, _features("id_number", value, w1, w2, (n,), votes)))
     numbers = [(x[0], x[1]) for x in out]
-    for a, b, value, votes, extra, w1, w2 in _names(text, given, common, numbers):
+    for a, b, value, votes, extra, w1, w2 in _names(text, given, common, often, numbers):
         out.append((a, b, "name", value, votes, _features("name", value, w1, w2, extra, votes)))
     out.sort(key=lambda x: (x[0], x[1]))
     cluster, end, marked = -1, -1, []
@@ -211,10 +228,10 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str]) -> list
 
 
 class Model:
-    """What decides: the gazetteer, the common words, and a classifier a type."""
+    """What decides: the gazetteer, the common words and those that are often capitalised, and a classifier a type."""
 
-    def __init__(self, given: frozenset[str], common: frozenset[str]):
-        self.given, self.common = given, common
+    def __init__(self, given: frozenset[str], common: frozenset[str], often: frozenset[str] = frozenset()):
+        self.given, self.common, self.often = given, common, often
         self.classifiers: dict[str, Ngrams] = {}
 
     def scores(self, kinds: list[str], feats: np.ndarray) -> np.ndarray:
@@ -228,7 +245,7 @@ class Model:
 
     def spans(self, text: str) -> list[tuple[int, int, str, str, float]]:
         """(start, end, type, value, score) of what is found, without overlaps."""
-        found = candidates(text, self.given, self.common)
+        found = candidates(text, self.given, self.common, self.often)
         if not found:
             return []
         p = self.scores([c[2] for c in found], np.array([c[5] for c in found]))
@@ -246,6 +263,18 @@ class Model:
         return "".join(out) + text[at:]
 
 
+def common_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """Words that many texts write in lower case, and other words that many texts write otherwise, folded: more than 20, and
+    more than COMMON of all. Texts of the same words, however often they repeat, are one text; an email has no words, as
+    they may be names."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace("t", _EMAIL_LIKE, " "), F.lit(r"\p{L}{2,}"), F.lit(0))))
+    each = cut(texts.select(words.alias("w")).groupBy(F.xxhash64("w")).agg(F.first("w").alias("w")).select("w"))
+    least = max(20, each.count() * COMMON)
+    seen = [r[0] for r in each.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("w").collect()]
+    common = frozenset(w for w in seen if w == w.lower())
+    return common, frozenset(w.casefold() for w in seen) - common
+
+
 def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, found_too: bool = True) -> tuple[Model, DataFrame]:
     """The model, and the scored candidates of all documents (key, start, cluster, pii_type, pii_value, score).
 
@@ -261,16 +290,14 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
         raise ValueError(f"more than {MOST_NAMES} given names: too many to send to every task")
     given = frozenset(r[0].strip().casefold() for r in listed)
     have = docs.where(F.length(text) > 0).select(key, text)
-    words = have.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]{2,}"), F.lit(0)))).alias("w"))
-    n = have.count()
-    common = frozenset(r[0] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(20, n * COMMON)).select("w").collect())
-    model = Model(given, common | frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split()) | SENTENCE_WORDS)
+    common, often = common_words(have.select(F.col(text).alias("t")))
+    model = Model(given, common | frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split()) | SENTENCE_WORDS, often)
     start = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = start.value
         for batch in batches:
-            rows = [(k, *c) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in candidates(t, m.given, m.common)]
+            rows = [(k, *c) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for c in candidates(t, m.given, m.common, m.often)]
             cols = list(zip(*rows)) or [()] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(pa.int8())), pa.array(cols[6], pa.list_(pa.int32())), pa.array(cols[7], pa.int32())],

@@ -6,7 +6,7 @@ import pytest
 from factloom.llm.defects import Endings, Languages, defects, one_defect, votes
 from factloom.llm.labels import cutoff, fit, posterior
 from factloom.llm.leaks import Automaton, leak_report, leaks, words
-from factloom.llm.pii import candidates, learn, personal_information, redacted
+from factloom.llm.pii import candidates, common_words, learn, personal_information, redacted
 
 ITEM = "When the first valve is closed the second valve opens slowly and the pressure in the vessel falls to half of its former value"
 
@@ -143,3 +143,26 @@ def test_personal_information(spark, sf):
     assert personal_information(docs.limit(0), names).count() == 0
     model, _ = learn(docs, names.limit(0))
     assert model.given == frozenset()
+
+
+def test_names_of_repeated_documents_are_found(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    names = spark.read.parquet(f"{sf}/given_names.parquet").unionByName(spark.createDataFrame([("Kyvi", 1)], "given_name string, n_seen long"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    copied = "The tablet was stopped. Signed: Kyvi Fennow\nSeen by Dr Pellhurst on the ward. Mail k.fennow@x.test today."
+    samples = ["alpha", "beta", "gamma", "delta", "kappa", "sigma", "omega"]
+    near = [f"The {a} sample of {b} was taken. Signed: Joric Marlgate\nSeen by Dr Bravover on the ward." for a in samples for b in samples]
+    many = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate([copied] * 60 + near)], "doc_id long, text string")
+    names = names.unionByName(spark.createDataFrame([("Joric", 1)], "given_name string, n_seen long"))
+    docs = docs.unionByName(many)
+    found = {}
+    for r in personal_information(docs, names).where("doc_id >= 1000000 and pii_type = 'name'").collect():
+        found.setdefault(r["doc_id"] - 10**6, set()).add(r["pii_value"])
+    assert all(found.get(i) == {"Kyvi Fennow", "Pellhurst"} for i in range(60)), found.get(0)
+    assert all(found.get(60 + i) == {"Joric Marlgate", "Bravover"} for i in range(49)), found.get(60)
+
+
+def test_common_words_are_those_of_distinct_texts_in_lower_case(spark):
+    rows = ["Dr Fennow saw the valve"] * 100 + [f"Dr Marlgate saw the valve {chr(97 + i % 26) * (2 + i // 26)} k.bravover@x.test" for i in range(100)]
+    common, often = common_words(spark.createDataFrame([(r,) for r in rows], "t string"))
+    assert common == {"saw", "the", "valve"} and often == {"dr", "marlgate"}
