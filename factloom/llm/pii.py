@@ -98,14 +98,33 @@ def _cues(text: str, a: int) -> tuple[str, bool, bool, bool]:
     return left, end.endswith(_TITLE_ENDS) and bool(NAME_TITLE.search(left)), end.endswith(_CUE_ENDS) and bool(NAME_BEFORE.search(left)), end.endswith(_STUDY_ENDS) and bool(NOT_NAME_BEFORE.search(left))
 
 
-def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str], common: frozenset[str]) -> Iterator[tuple]:
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple]]:
+    """The capitalised tokens of each run, (start, end, word); a run ends where a taken span begins and goes on after it."""
+    for run in RUN.finditer(text):
+        tokens = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in re.finditer(rf"{_CAP}|[A-ZÀ-Þ]\.", run[0])]
+        near = [(a, b) for a, b in taken if a < run.end() and run.start() < b]
+        part: list[tuple] = []
+        for t in tokens:
+            if any(a < t[1] and t[0] < b for a, b in near):
+                if part:
+                    yield part
+                part = []
+            else:
+                part.append(t)
+        if part:
+            yield part
+
+
+def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str], common: frozenset[str], starts: frozenset[int]) -> Iterator[tuple]:
     a, b = part[0][0], part[-1][1]
     value, right = text[a:b], text[b : b + 40].replace("\n", " ")
     known = any(p[2].casefold() in given for p in part)
     words = [p[2] for p in part if len(p[2].rstrip(".")) > 1]
     _, title, before, study = _cues(text, a)
     after = bool(NAME_AFTER.match(right))
-    against = bool(NOT_NAME_AFTER.match(right) or (study and not title))
+    # The number of a house or the name in an email is no number of a study.
+    apart = next((i for i in range(4) if b + i in starts), len(right))
+    against = bool(NOT_NAME_AFTER.match(right[:apart]) or (study and not title))
     pair = len(words) > 1 and (comma or known or any(w.isupper() for w in words) != all(w.isupper() for w in words) or len(part) > len(words))
     if not (known or title or before or after or pair or len(words) > 1):
         return
@@ -118,13 +137,11 @@ def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str],
     yield a, b, value, votes, (tail[:3], tail[-3:], tail[-4:], known, len(part)), w1, w2
 
 
-def _names(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str], taken: list[tuple[int, int]]) -> Iterator[tuple]:
+def _names(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str], taken: list[tuple[int, int]], starts: frozenset[int]) -> Iterator[tuple]:
     """Candidate names: (start, end, votes, extra features). Common words and words that are often capitalised are parts of
-    names only beside a title, a cue or a given name; then the name is a candidate with them and without them."""
-    for run in RUN.finditer(text):
-        if any(a < run.end() and run.start() < b for a, b in taken):
-            continue
-        tokens = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in re.finditer(rf"{_CAP}|[A-ZÀ-Þ]\.", run[0])]
+    names only beside a title, a cue or a given name; then the name is a candidate with them and without them. taken: spans that no
+    name may hold; starts: where emails and addresses begin."""
+    for tokens in _runs(text, taken):
         at = 0
         while at < len(tokens):
             low = tokens[at][2].casefold().rstrip(".")
@@ -162,7 +179,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
                     families += 1
                 part.append(nxt)
             if more:
-                yield from _candidate(text, [*part, more], False, given, common)
+                yield from _candidate(text, [*part, more], False, given, common, starts)
             while part and re.fullmatch(r"[A-ZÀ-Þ]\.", part[-1][2]) and not comma:
                 part.pop()
             if not part:
@@ -170,7 +187,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
                 continue
             # What follows an ordinary word may be a name without it.
             at += 1 if ordinary else len(part)
-            yield from _candidate(text, part, comma, given, common)
+            yield from _candidate(text, part, comma, given, common, starts)
 
 
 def candidates(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str] = frozenset()) -> list[tuple]:
@@ -193,6 +210,7 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], often:
                 out.append((m.start(), m.end(), "address", m[0], votes, _features("address", m[0], w1, w2, (i,), votes)))
                 spans.append((m.start(), m.end()))
     taken += spans
+    starts = frozenset(a for a, _ in taken)
     for m in PHONE.finditer(text):
         n = sum(c.isdigit() for c in m[0])
         if 8 <= n <= 15 and free(m.start(), m.end()):
@@ -217,7 +235,7 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], often:
             votes = [1 if ID_SHAPE.match(value) else -1, 1 if cue else -1, 1 if ID_AFTER.match(right) else -1, 0 if no else -1, 0 if PHONE_BEFORE.search(left) and not cue else -1]
             out.append((a, b, "id_number", value, votes, _features("id_number", value, w1, w2, (n,), votes)))
     numbers = [(x[0], x[1]) for x in out]
-    for a, b, value, votes, extra, w1, w2 in _names(text, given, common, often, numbers):
+    for a, b, value, votes, extra, w1, w2 in _names(text, given, common, often, numbers, starts):
         out.append((a, b, "name", value, votes, _features("name", value, w1, w2, extra, votes)))
     out.sort(key=lambda x: (x[0], x[1]))
     cluster, end, marked = -1, -1, []

@@ -126,6 +126,24 @@ def test_candidate_spans(text, kind, value):
     assert (kind, value) in {(c[2], c[3]) for c in candidates(text, NAMES, frozenset(["the", "then", "signed"]))}
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("Herr Libet Pellhurst, Am Mühlbach 192, 86300 Grauwinkel", "Libet Pellhurst"),
+        ("Kyvi Fennow, Flat 3, 120 Copper Mill Court, Dunmere PX4 7DF", "Kyvi Fennow"),
+        ("Kyvi Fennow, K.Fennow@x.test", "Kyvi Fennow"),
+        ("Kyvi Fennow\n120 Copper Mill Court, Dunmere PX4 7DF", "Kyvi Fennow"),
+        ("120 Copper Mill Court, Dunmere PX4 7DF, Kyvi Fennow", "Kyvi Fennow"),
+    ],
+)
+def test_names_beside_addresses_and_emails(text, value):
+    found = candidates(text, NAMES, frozenset())
+    votes_ = {c[3]: c[4] for c in found if c[2] == "name"}
+    assert votes_.keys() == {value} and votes_[value][5] == -1
+    assert {"address", "email"} & {c[2] for c in found}
+    assert next(c[4][5] for c in candidates("Kyvi Fennow 120 ran on", NAMES, frozenset())) == 0
+
+
 def test_personal_information(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
