@@ -25,6 +25,8 @@ SAMPLE = 60_000
 MOST_NAMES = 2_000_000
 #: A word in more than this part of the documents is a common word.
 COMMON = 0.004
+#: A type of which fewer candidates are drawn is decided by the label model.
+FEW = 20
 FEATURES = 12
 #: Share of true ones among the candidates that the estimation starts from.
 PRIOR = {"email": 0.95, "phone": 0.4, "id_number": 0.3, "address": 0.95, "name": 0.3}
@@ -250,15 +252,23 @@ class Model:
 
     def __init__(self, given: frozenset[str], common: frozenset[str], often: frozenset[str] = frozenset()):
         self.given, self.common, self.often = given, common, often
+        self.labels: dict[str, tuple[float, np.ndarray]] = {}
         self.classifiers: dict[str, Ngrams] = {}
 
-    def scores(self, kinds: list[str], feats: np.ndarray) -> np.ndarray:
+    def belief(self, kind: str, votes: np.ndarray) -> np.ndarray:
+        """Posteriors of the label model."""
+        post = posterior(votes, *self.labels[kind])
+        # Emails and addresses have patterns that little else fits.
+        post = np.where((votes == 1).any(axis=1), post, 0.0)
+        return np.where(votes[:, VETO[kind]] == 0, 0.0, post) if kind in VETO else post
+
+    def scores(self, kinds: list[str], feats: np.ndarray, votes: list) -> np.ndarray:
         p = np.zeros(len(kinds))
         kinds_ = np.array(kinds, dtype=object)
-        for t, c in self.classifiers.items():
-            own = kinds_ == t
-            if own.any():
-                p[own] = c.score(feats[own])
+        for t in self.labels:
+            at = np.flatnonzero(kinds_ == t)
+            if len(at):
+                p[at] = self.classifiers[t].score(feats[at]) if t in self.classifiers else self.belief(t, np.array([votes[i] for i in at]))
         return p
 
     def spans(self, text: str) -> list[tuple[int, int, str, str, float]]:
@@ -266,7 +276,7 @@ class Model:
         found = candidates(text, self.given, self.common, self.often)
         if not found:
             return []
-        p = self.scores([c[2] for c in found], np.array([c[5] for c in found]))
+        p = self.scores([c[2] for c in found], np.array([c[5] for c in found]), [c[4] for c in found])
         best: dict[int, tuple] = {}
         for c, s in zip(found, p):
             if s > 0.5 and (c[6] not in best or s > best[c[6]][4]):
@@ -293,12 +303,22 @@ def common_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     return common, frozenset(w.casefold() for w in seen) - common
 
 
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """The part of each type that is drawn: all of a type with fewer than its equal share, whose rest goes to the others."""
+    out: dict[str, float] = {}
+    for i, (t, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        own = min(n, sample // (len(counts) - i))
+        sample -= own
+        out[t] = own / n
+    return out
+
+
 def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, found_too: bool = True) -> tuple[Model, DataFrame]:
     """The model, and the scored candidates of all documents (key, start, cluster, pii_type, pii_value, score).
 
     Word counts, candidates and vote patterns are of all documents and whole texts. The common words are at most
     1 / COMMON times the mean number of words of a document, the patterns at most 3 ** 6 a type; the classifier is trained
-    on about `sample` candidates. Null and empty texts have no candidates; without any given name, context and form decide.
+    on about `sample` candidates, and a type of which few are drawn is decided by the label model. Null and empty texts have no candidates; without any given name, context and form decide.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -324,32 +344,29 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
 
     found = cut(have.mapInArrow(run, f"`{key}` {kind}, start int, pii_type string, pii_value string, votes array<tinyint>, feats array<int>, cluster int"))
     seen: dict[str, list] = {}
-    total = 0
     for r in found.groupBy("pii_type", "votes").agg(F.count(F.lit(1)).alias("n")).collect():
         seen.setdefault(r["pii_type"], []).append((list(r["votes"]), r["n"]))
-        total += r["n"]
     soft: dict[tuple, float] = {}
     for t, x in seen.items():
         p, c = np.array([v for v, _ in x]), np.array([k for _, k in x], float)
-        # Emails and addresses have patterns that little else fits.
-        post = posterior(p, *fit(p, c, prior=PRIOR[t], most=0.98))
-        post = np.where((p == 1).any(axis=1), post, 0.0)
-        if t in VETO:
-            post = np.where(p[:, VETO[t]] == 0, 0.0, post)
-        soft |= {(t, tuple(v)): float(y) for v, y in zip(p.tolist(), post)}
-    draw = found.where(F.pmod(F.xxhash64(key, "start", "pii_type"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(total, 1)))).select("pii_type", "votes", "feats").limit(2 * sample).collect()
+        model.labels[t] = fit(p, c, prior=PRIOR[t], most=0.98)
+        soft |= {(t, tuple(v)): float(y) for v, y in zip(p.tolist(), model.belief(t, p))}
+    share = shares({t: sum(k for _, k in x) for t, x in seen.items()}, sample)
+    part = F.create_map(*[F.lit(v) for t, y in share.items() for v in (t, int(1_000_003 * y))])[F.col("pii_type")] if share else F.lit(0)
+    draw = found.where(F.pmod(F.xxhash64(key, "start", "pii_type"), F.lit(1_000_003)) < part).select("pii_type", "votes", "feats").limit(2 * sample).collect()
     for t in seen:
         own = [(r["feats"], soft[(t, tuple(r["votes"]))]) for r in draw if r["pii_type"] == t]
-        model.classifiers[t] = Ngrams().fit(np.array([f for f, _ in own]), np.array([y for _, y in own]), rounds=int(np.clip(8000 // len(own), 4, 200))) if own else Ngrams()
+        if len(own) >= FEW:
+            model.classifiers[t] = Ngrams().fit(np.array([f for f, _ in own]), np.array([y for _, y in own]), rounds=int(np.clip(8000 // len(own), 4, 200)))
     if not found_too:
         return model, found
     ready = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(kinds: pd.Series, feats: pd.Series) -> pd.Series:
-        return pd.Series(ready.value.scores(list(kinds), np.array(feats.tolist(), dtype=np.int64).reshape(len(kinds), -1)))
+    def score(kinds: pd.Series, feats: pd.Series, votes: pd.Series) -> pd.Series:
+        return pd.Series(ready.value.scores(list(kinds), np.array(feats.tolist(), dtype=np.int64).reshape(len(kinds), -1), list(votes)))
 
-    return model, found.withColumn("score", score("pii_type", "feats"))
+    return model, found.withColumn("score", score("pii_type", "feats", "votes"))
 
 
 def personal_information(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

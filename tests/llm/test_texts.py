@@ -184,3 +184,13 @@ def test_common_words_are_those_of_distinct_texts_in_lower_case(spark):
     rows = ["Dr Fennow saw the valve"] * 100 + [f"Dr Marlgate saw the valve {chr(97 + i % 26) * (2 + i // 26)} k.bravover@x.test" for i in range(100)]
     common, often = common_words(spark.createDataFrame([(r,) for r in rows], "t string"))
     assert common == {"saw", "the", "valve"} and often == {"dr", "marlgate"}
+
+
+def test_a_rare_type_is_found_among_many_candidates(spark):
+    rows = [f"On day {i} the valve was shut. Signed: Kyvi Fen{chr(97 + i % 26)}ow. Call +44 20 7946 {1000 + i} after six." for i in range(600)]
+    rows += ["She lives at Flat 3, 120 Copper Mill Court, Dunmere PX4 7DF."] * 2
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    names = spark.createDataFrame([("Kyvi", 1)], "given_name string, n_seen long")
+    model, scored = learn(docs, names, sample=60)
+    assert {r["doc_id"] for r in scored.where("pii_type = 'address' and score > 0.5").collect()} == {600, 601}
+    assert [s[2] for s in model.spans(rows[600])] == ["address"]
