@@ -1,19 +1,21 @@
 """Per-key results when a few keys hold most rows.
 
 Counts, distinct ids and exact order statistics are built from mergeable partial results only. The rows of a hot key
-never meet in one task: quantiles come from histograms per key that are refined until the wanted rank is one value.
+never meet in one task: a histogram of values a key gives the sizes of the keys, and for quantiles the range that holds
+a rank is refined, with further histograms, until it is one value.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.storage import cut
+from factloom.storage import checked_broadcast, cut
 
-BUCKETS = 4096
+#: A histogram has at most 2 ** BITS ranges of values a key, and each refinement divides a range by as much.
+BITS = 12
+#: Ranges that are broadcast at most; more are merged.
+BROADCAST_RANGES = 100_000
 
 
 def clean_key(c: Column | str) -> Column:
@@ -24,81 +26,95 @@ def clean_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(trimmed), rf"(?:{blank}|[-_])+", "_")
 
 
-def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], hot_share: float = 1e-4) -> DataFrame:
-    """keys, prob, quantile: the smallest value whose rank is at least prob times the number of the key's values.
+class Histogram:
+    """Counts of the rows of each key by ranges of a long value, mergeable and exact.
 
-    value is a long; null values don't count, and a key without values has no row. Null keys are keys of their own.
-    Keys with more than hot_share of all rows (at most 1 / hot_share keys, so they may be broadcast) are resolved by
-    refining a histogram of BUCKETS counts a key and prob: each pass adds mergeable counts and narrows the range that
-    holds the rank. All other keys are small by definition and are ranked by a window.
+    A range is all values that agree in their bits from `shift` on; counts has a row a key and range that occurs, with how
+    many rows, the least and the greatest value. Null values are a range of their own, null keys keys of their own.
     """
-    rows = df.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col(value).cast("long").alias("_v")).where("_v is not null")
-    names = [f"_k{i}" for i in range(len(keys))]
-    spans = cut(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    total = spans.agg(F.sum("_n")).first()[0] or 0
-    limit = max(1, math.ceil(total * hot_share))
-    ranks = spans.select("*", F.explode(F.array(*(F.lit(float(p)) for p in probs))).alias("_p")).withColumn(
-        "_r", F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil(F.col("_p") * F.col("_n"))))
-    )
-    same = lambda a, b: [a[n].eqNullSafe(b[n]) for n in names]
-
-    cold = F.broadcast(spans.where(F.col("_n") > limit).select(*names))
-    few = rows.alias("r").join(cold, same(rows, cold), "left_anti")
-    rank_of = few.withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_v")).cast("long")).alias("f")
-    wanted = ranks.where(F.col("_n") <= limit).select(*names, "_p", "_r").alias("w")
-    small = rank_of.join(wanted, [F.col(f"f.{n}").eqNullSafe(F.col(f"w.{n}")) for n in names] + [F.col("f._r") == F.col("w._r")]).select(
-        *(F.col(f"f.{n}").alias(n) for n in names), F.col("_p"), F.col("f._v").alias("_v")
-    )
-
-    # A rank of 1 or n is the least or greatest value, which the first pass has found already.
-    state = ranks.where(F.col("_n") > limit).select(
-        *names, "_p", "_r",
-        F.when(F.col("_r") == F.col("_n"), F.col("_hi")).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(F.col("_r") == 1, F.col("_lo")).otherwise(F.col("_hi")).alias("_hi"),
-    )
-    widest = spans.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
-    while widest > 0:
-        state = cut(_refine(rows, state, names))
-        widest = state.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 0
-    out = state.select(*names, "_p", F.col("_lo").alias("_v")).unionByName(small)
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keys)), F.col("_p").alias("prob"), F.col("_v").alias("quantile"))
-
-
-def _refine(rows: DataFrame, state: DataFrame, names: list[str]) -> DataFrame:
-    width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(BUCKETS)).cast("long")
-    open_ = state.where("_hi > _lo").withColumn("_w", width).withColumn("_id", F.xxhash64(*names, "_p")).alias("s")
-    hit = rows.alias("r").join(
-        F.broadcast(open_),  # at most 1 / hot_share keys times the number of probs
-        [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names] + [F.col("r._v").between(F.col("s._lo"), F.col("s._hi"))],
-    )
-    at = F.floor((F.col("r._v") - F.col("s._lo")) / F.col("s._w")).cast("long")
-    by = [F.col(f"s.{n}").alias(n) for n in names]
-    counts = hit.groupBy(*by, F.col("s._p").alias("_p"), F.col("s._r").alias("_r"), F.col("s._lo").alias("_lo"), F.col("s._hi").alias("_hi"), F.col("s._w").alias("_w"), at.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*names, "_p").orderBy("_b")  # at most BUCKETS rows each
-    seen = counts.withColumn("_to", F.sum("_c").over(w)).where((F.col("_to") >= F.col("_r")) & (F.col("_to") - F.col("_c") < F.col("_r")))
-    lo = F.col("_lo") + F.col("_b") * F.col("_w")
-    nearer = seen.select(*names, "_p", (F.col("_r") - F.col("_to") + F.col("_c")).alias("_r"), lo.alias("_lo"), F.least(F.col("_hi"), lo + F.col("_w") - 1).alias("_hi"))
-    return state.where("_hi = _lo").unionByName(nearer)
+
+    def __init__(self, df: DataFrame, keys: list[str], value: str):
+        self.keys, self.names = keys, [f"_k{i}" for i in range(len(keys))]
+        self.rows = cut(df.select(*(F.col(k).alias(n) for k, n in zip(keys, self.names)), F.col(value).cast("long").alias("_v")))
+        lo, hi = self.rows.agg(F.min("_v"), F.max("_v")).first()
+        self.shift = 0
+        while lo is not None and (hi >> self.shift) - (lo >> self.shift) >= 1 << BITS:
+            self.shift += 1
+        self.counts = cut(self._count(self.rows, self.shift))
+
+    def _count(self, rows: DataFrame, shift: int, *by: str) -> DataFrame:
+        return rows.groupBy(*self.names, *by, F.shiftright("_v", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+    def named(self, df: DataFrame, *rest) -> DataFrame:
+        return df.select(*(F.col(n).alias(k) for n, k in zip(self.names, self.keys)), *rest)
+
+    def total(self) -> int:
+        return self.counts.agg(F.sum("_c")).first()[0] or 0
+
+    def sizes(self) -> DataFrame:
+        """keys, n_rows: rows of each key, also those without a value."""
+        return self.named(self.counts.groupBy(*self.names).agg(F.sum("_c").alias("n_rows")), "n_rows")
+
+    def quantiles(self, probs: list[float]) -> DataFrame:
+        """keys, prob, quantile: the smallest value whose rank is at least prob times the number of the key's values.
+
+        A key without values has no row. A range that holds a rank is divided again until it is one value; only counts
+        are shuffled, and a task that ranks has at most 2 ** BITS of them a key and prob.
+        """
+        names, shift = self.names, self.shift
+        each = self.counts.where("_b is not null")
+        n = F.sum("_c").over(Window.partitionBy(*names))
+        upto = F.sum("_c").over(Window.partitionBy(*names).orderBy("_b"))
+        seen = each.withColumn("_n", n).withColumn("_to", upto).withColumn("_p", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+        seen = seen.withColumn("_r", F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil(F.col("_p") * F.col("_n")))))
+        state = cut(self._holding(seen))
+        while not state.where("_hi > _lo").isEmpty():
+            open_ = state.where("_hi > _lo")
+            wanted = checked_broadcast(open_.select(*names, F.col("_b").alias("_in")).distinct(), BROADCAST_RANGES, 128)[0]
+            inside = self.rows.withColumn("_in", F.shiftright("_v", shift))
+            inside = inside.join(wanted, [inside[c].eqNullSafe(wanted[c]) for c in [*names, "_in"]], "left_semi")
+            shift = max(0, shift - BITS)
+            finer = self._count(inside, shift, "_in").withColumnsRenamed({c: f"{c}_" for c in names})
+            ranks = open_.select(*names, "_p", "_r", F.col("_b").alias("_o"))
+            both = ranks.join(finer, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in names] + [F.col("_o") == F.col("_in")])
+            upto = F.sum("_c").over(Window.partitionBy(*names, "_p").orderBy("_b"))
+            state = cut(state.where("_hi = _lo").unionByName(self._holding(both.withColumn("_to", upto))))
+        return self.named(state, F.col("_p").alias("prob"), F.col("_lo").alias("quantile"))
+
+    def _holding(self, seen: DataFrame) -> DataFrame:
+        """The range that holds the rank, and the rank inside it."""
+        before = F.col("_to") - F.col("_c")
+        return seen.where((F.col("_to") >= F.col("_r")) & (before < F.col("_r"))).select(*self.names, "_p", (F.col("_r") - before).alias("_r"), "_b", "_lo", "_hi")
+
+
+def key_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """keys, prob, quantile of a long value; see Histogram. An empty table has no rows."""
+    return Histogram(df, keys, value).quantiles(probs)
+
+
+def _loads(facts: DataFrame) -> Histogram:
+    f = facts.select(clean_key("source").alias("source"), clean_key("relation").alias("relation"), F.unix_micros("loaded_at").alias("loaded"))
+    return Histogram(f, ["source", "relation"], "loaded")
 
 
 def key_report(facts: DataFrame, probs: list[float] = [0.5, 0.9, 1.0]) -> DataFrame:
     """source, relation, n_rows, n_ids, share, median_loaded, p90_loaded, latest_loaded of each cleaned pair.
 
-    share is of all rows, also those with a null in either field, which belong to no pair. Ids are counted in two steps,
-    so that the ids of a hot pair spread over all tasks; null ids and null loads don't count. An empty table has no pairs.
+    share is of all rows, also those with a null in either field, which belong to no pair. Rows are counted by the
+    histogram of loads, ids in two steps, so that the ids of a hot pair spread over all tasks; null ids and null loads
+    don't count. An empty table has no pairs.
     """
-    f = facts.select(clean_key("source").alias("source"), clean_key("relation").alias("relation"), "id", F.unix_micros("loaded_at").alias("loaded"))
     keys = ["source", "relation"]
-    ids = f.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(ids.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count("id").alias("n_ids")))
-    total = sizes.agg(F.sum("n_rows")).first()[0] or 0
-    kept = f.where("source is not null and relation is not null")
-    q = key_quantiles(kept, keys, "loaded", probs)
-    wide = q.groupBy(*keys).pivot("prob", [float(p) for p in probs]).agg(F.first("quantile"))
+    loads = _loads(facts)
+    named = lambda df: df.where("source is not null and relation is not null")
+    ids = named(facts.select(clean_key("source").alias("source"), clean_key("relation").alias("relation"), "id")).where("id is not null").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ids"))
+    wide = named(loads.quantiles(probs)).groupBy(*keys).pivot("prob", [float(p) for p in probs]).agg(F.first("quantile"))
     wide = wide.select(*keys, *(F.timestamp_micros(F.col(f"`{float(p)}`")).alias(n) for p, n in zip(probs, ["median_loaded", "p90_loaded", "latest_loaded"])))
-    return sizes.where("source is not null and relation is not null").join(wide, keys, "left").withColumn("share", F.col("n_rows") / F.lit(max(total, 1)))
+    sizes = named(loads.sizes()).join(ids, keys, "left").join(wide, keys, "left").fillna(0, ["n_ids"])
+    return sizes.withColumn("share", F.col("n_rows") / F.lit(max(loads.total(), 1)))
 
 
 def hot_pairs(facts: DataFrame, least_share: float = 0.04) -> DataFrame:
-    """Pairs that hold at least least_share of all rows."""
-    return key_report(facts).where(F.col("share") >= least_share).select("source", "relation")
+    """Pairs that hold at least least_share of all rows, by the counts of the histogram of their loads."""
+    loads = _loads(facts)
+    return loads.sizes().where("source is not null and relation is not null").where(F.col("n_rows") >= least_share * max(loads.total(), 1)).select("source", "relation")

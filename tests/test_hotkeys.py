@@ -25,8 +25,7 @@ def test_quantiles_match_sorting(spark, seed):
     rng = random.Random(seed)
     rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([rng.randrange(-(10**15), 10**15), rng.randrange(5), None])) for _ in range(300)]
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    # With this share the hot key is refined and the others are ranked.
-    got = {(r["k"], r["prob"]): r["quantile"] for r in key_quantiles(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", probs, hot_share=0.3).collect()}
+    got = {(r["k"], r["prob"]): r["quantile"] for r in key_quantiles(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", probs).collect()}
     want = {}
     for k in {k for k, v in rows if v is not None}:
         vs = sorted(v for kk, v in rows if kk == k and v is not None)
@@ -53,3 +52,10 @@ def test_hot_pairs_and_empty_table(spark):
 def test_ties_all_equal(spark):
     df = spark.range(500).select(F.lit("k").alias("k"), F.lit(7).alias("v"))
     assert {r["quantile"] for r in key_quantiles(df, ["k"], "v", [0.1, 0.5, 1.0]).collect()} == {7}
+
+
+def test_extreme_values_and_keys_without_values(spark):
+    big = 2**63 - 1
+    df = spark.createDataFrame([("a", -big - 1), ("a", big), ("a", 0), ("b", None), (None, 5)], "k string, v long")
+    got = {(r["k"], r["prob"]): r["quantile"] for r in key_quantiles(df, ["k"], "v", [0.1, 0.5, 1.0]).collect()}
+    assert got == {("a", 0.1): -big - 1, ("a", 0.5): 0, ("a", 1.0): big, (None, 0.1): 5, (None, 0.5): 5, (None, 1.0): 5}
