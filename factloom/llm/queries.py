@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.bpe import count_tokens, encode
 from factloom.llm.defects import defects, one_defect
-from factloom.llm.leaks import leak_report, leaks
+from factloom.llm.leaks import leak_report, leaks, remove_leaks
 from factloom.llm.overlap import overlap_pairs, overlap_report
 from factloom.llm.packing import containers, pack_texts
 from factloom.llm.pii import personal_information, redacted
@@ -52,8 +52,11 @@ def p6_found(spark, d):
 
 
 def p6_report(spark, d):
-    docs = table(spark, d, "documents")
-    return leak_report(leaks(docs, table(spark, d, "eval_items")), docs)
+    return leak_report(leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
+
+
+def p6_cleaned(spark, d):
+    return remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p7_ids(spark, d):
@@ -84,5 +87,5 @@ def p9_redacted(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_neighbours, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_labels, p6_found, p6_report, p7_ids, p7_tokens_by_language, p8_containers, p8_room, p9_found, p9_redacted)
+    for f in (p1_found, p1_neighbours, p2_found, p2_splits, p3_found, p3_report, p4_found, p4_labels, p6_found, p6_report, p6_cleaned, p7_ids, p7_tokens_by_language, p8_containers, p8_room, p9_found, p9_redacted)
 }

@@ -1,11 +1,14 @@
 import re
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 import pytest
 
 from factloom.llm.defects import Endings, Languages, defects, one_defect, votes
 from factloom.llm.labels import cutoff, fit, posterior
-from factloom.llm.leaks import Automaton, leak_report, leaks, words
+from factloom.llm import leaks as leaks_module
+from factloom.llm.leaks import Automaton, leak_report, leaks, located_words, remove_leaks, words
 from factloom.llm.pii import candidates, common_words, learn, personal_information, redacted
 
 ITEM = "When the first valve is closed the second valve opens slowly and the pressure in the vessel falls to half of its former value"
@@ -31,7 +34,7 @@ def test_longest_matches_equal_brute_force():
                     if any(doc[i : i + b - a] == s[a:b] for i in range(len(doc))):
                         want[k] = max(want.get(k, 0), b - a)
                         break
-        assert auto.matches(doc, 3) == want
+        assert auto.matches(doc, dict.fromkeys(range(6), 3)) == want
 
 
 def test_leaks(spark):
@@ -40,10 +43,41 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(10, "x " + " ".join(w[:12]) + " y", 0), (11, " ".join(w[:11]), 0), (12, None, 0), (13, "", 0), (14, "short answer", 0), (15, "a " * 50_000 + ITEM + " today", 0)], "doc_id long, text string, i int")
     got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in leaks(docs, items).collect()}
     assert got == {(10, 1): 12, (10, 2): 12, (15, 1): len(w), (15, 2): len(w) + 1}
-    assert {r["item_id"]: r["n_whole"] for r in leak_report(leaks(docs, items), docs).collect()} == {1: 1, 2: 1}
+    assert {r["item_id"]: r["n_whole"] for r in leak_report(leaks(docs, items)).collect()} == {1: 1, 2: 1}
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aB é\u0301ßﬁ²\u00ad-‐\n\r >|<b>/[1]^&;amp&#39;†.,\u200b가\u1100\u1161İ5_"), max_size=60))
+def test_words_are_located_where_they_stand(text):
+    found, start, end = located_words(text)
+    assert found == words(text)
+    assert all(0 <= a < b <= len(text) for a, b in zip(start, end)) and start == sorted(start)
+
+
+def test_removed_spans(spark, monkeypatch):
+    w = ITEM.split()
+    items = spark.createDataFrame([(1, ITEM, "six short words stand right here")], "item_id long, text string, gold_answer string")
+    inside = "Before. " + "  ".join(w[:7]) + "<b> " + " ".join(w[7:13]).upper() + "</b>, after 5 &lt; 6."
+    docs = spark.createDataFrame([(1, inside, 0), (2, "kept\n as  it is ", 0), (3, None, 0), (4, "", 0), (5, f"{ITEM} between {ITEM}", 0), (6, "so six short words stand right now", 0), (1, inside, 0)], "doc_id long, text string, n_removed int")
+    for block_words in (400_000, 3):
+        monkeypatch.setattr(leaks_module, "BLOCK_WORDS", block_words)
+        got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in remove_leaks(docs, items).collect()), key=lambda r: r[0])
+        clean = "Before. </b>, after 5 &lt; 6."
+        assert got == [(1, clean, 13), (1, clean, 13), (2, "kept\n as  it is ", 0), (3, None, 0), (4, "", 0), (5, "between", 2 * len(w)), (6, "so six short words stand right now", 0)]
+        short = {r["doc_id"]: (r["text"], r["n_removed"]) for r in remove_leaks(docs, items, coverage=0.8).collect()}
+        assert short[6] == ("so now", 5)
+        assert {(r["doc_id"], r["n_words"]) for r in leaks(docs, items, coverage=0.8).collect()} == {(1, 13), (5, len(w)), (6, 5)}
+    assert remove_leaks(docs.limit(0), items).count() == 0 and remove_leaks(docs, items.limit(0)).where("n_removed > 0").count() == 0
+
+
+def test_blocks_of_items_match_as_one(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20)), None) for i in range(9)], "item_id long, text string, gold_answer string")
+    docs = items.selectExpr("item_id as doc_id", "concat('a b ', text) as text")
+    monkeypatch.setattr(leaks_module, "BLOCK_WORDS", 50)
+    assert {(r["doc_id"], r["item_id"], r["n_words"]) for r in leaks(docs, items).collect()} == {(i, i, 20) for i in range(9)}
+
+
 def test_label_model_finds_reliabilities():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.15
