@@ -1,8 +1,9 @@
 """The k most similar vectors of every vector: additive quantisation with inverted lists, then exact reranking.
 
 A vector is the sum of one full-dimensional codeword of each codebook, found by beam search over residual codebooks. The
-first codebook also cuts the space into cells. Every vector is compared with all vectors of the cells nearest to it, by
-tables of its products with the codewords and the stored norms of the sums; the best of a cell are reranked exactly.
+sums of the first codebooks are cells; how many books make a cell grows with the number of vectors, so that a cell holds
+about the same number of them at any size. Every vector is scored against all vectors of the cells nearest to it, by tables
+of its products with the codewords and the stored norms of the sums; a fixed number of the best is reranked exactly.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.storage import cut
+from factloom.storage import checked_broadcast, cut
 
 
 #: Queries scored at once.
@@ -29,16 +30,25 @@ class Settings:
     dim: int = 64
     k: int = 8
     sample: int = 40_000  # classes that the codebooks are fitted on, about, and never twice that
-    books: int = 10  # residual codebooks after the first
-    words: int = 256  # codewords of each of them
+    hold: int = 300  # vectors of a cell, about
+    lead: int = 4096  # codewords of the first codebook, at most
+    books: int = 12  # residual codebooks after those that make the cells
+    words: int = 256  # codewords of each of them, and of those after the first that make cells, at most
     beam: int = 3
-    probes: int = 6  # cells compared with a vector
-    rerank: int = 64  # of a cell, by exact cosine, at least
-    rerank_share: float = 0.4  # and at least this part of it
+    probes: int = 6  # cells whose vectors are scored for a vector
+    rerank: tuple[int, ...] = (256, 96, 64, 48, 32, 32)  # vectors of the nearest cells that are compared exactly, the last number for all further cells
     rounds: int = 8  # of k-means
     seed: int = 11
     block: int = 4096  # vectors of a cell, and queries of it, that meet in one group, at most about
 
+    def levels(self, n: int) -> list[int]:
+        """Codewords of the codebooks that make the cells of n vectors; the cells are all their sums."""
+        cells = max(1.0, n / self.hold)
+        sizes = [int(min(self.lead, 2 ** round(np.log2(cells))))]
+        while np.prod([float(x) for x in sizes]) * 1.5 < cells:
+            sizes.append(int(min(self.words, np.ceil(cells / np.prod([float(x) for x in sizes])))))
+        return sizes
+
 
 def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     half = (centre**2).sum(1) / 2
@@ -57,37 +67,55 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centre
 
 
-def fit(x: np.ndarray, cells: int, s: Settings) -> list[np.ndarray]:
-    """Codebooks, each fitted on what the ones before it leave over."""
+def fit(x: np.ndarray, levels: list[int], s: Settings) -> list[np.ndarray]:
+    """Codebooks, those of the cells first, each fitted on what the ones before it leave over."""
     rng = np.random.default_rng(s.seed)
-    books = [_kmeans(x, cells, s.rounds, rng)]
+    books: list[np.ndarray] = []
     left = x
-    for _ in range(s.books):
+    for size in [*levels, *[s.words] * s.books]:
+        books.append(_kmeans(left, size, s.rounds, rng))
         left = left - books[-1][_nearest(left, books[-1])]
-        books.append(_kmeans(left, s.words, s.rounds, rng))
     return books
 
 
-def encode(x: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (one column a codebook) by beam search, and the norm of the sum of the codewords."""
-    codes, norms = [], []
-    for a in range(0, len(x), 2048):
+def beam_search(left: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the beam best paths of codewords, best first, and what each leaves over."""
+    n = len(left)
+    left, path, error = left[:, None, :], np.zeros((n, 1, 0), np.int16), np.zeros((n, 1), np.float32)
+    for book in books:
+        cost = error[:, :, None] + (book**2).sum(1) - 2 * (left.reshape(-1, left.shape[2]) @ book.T).reshape(n, left.shape[1], -1)
+        flat = cost.reshape(n, -1)
+        keep = min(beam, flat.shape[1])
+        best, error, rows = np.empty((n, keep), np.int64), np.empty((n, keep), np.float32), np.arange(n)
+        for j in range(keep):  # the least again and again, which is faster than a partition for so few
+            best[:, j] = at = flat.argmin(axis=1)
+            error[:, j] = flat[rows, at]
+            flat[rows, at] = np.inf
+        parent, word = best // len(book), best % len(book)
+        left = np.take_along_axis(left, parent[:, :, None], axis=1) - book[word]
+        path = np.concatenate([np.take_along_axis(path, parent[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
+    return path, left
+
+
+def cell_ids(path: np.ndarray, sizes: list[int]) -> np.ndarray:
+    out = np.zeros(path.shape[:-1], np.int64)
+    for m, size in enumerate(sizes):
+        out = out * size + path[..., m]
+    return out
+
+
+def encode(x: np.ndarray, books: list[np.ndarray], beam: int, levels: int = 1, probes: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest cells (paths over the first `levels` codebooks, best first), codes over all codebooks, of which the first
+    are those of the nearest cell, and the norm of the sum of the codewords."""
+    cells, codes, norms = [], [], []
+    for a in range(0, max(len(x), 1), 2048):
         v = x[a : a + 2048]
-        n = len(v)
-        left, path, error = v[:, None, :], np.zeros((n, 1, 0), np.int16), np.zeros((n, 1), np.float32)
-        for book in books:
-            cost = error[:, :, None] + (book**2).sum(1) - 2 * (left.reshape(-1, v.shape[1]) @ book.T).reshape(n, left.shape[1], -1)
-            flat = cost.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-            error = np.take_along_axis(flat, best, axis=1)
-            parent, word = best // len(book), best % len(book)
-            left = np.take_along_axis(left, parent[:, :, None], axis=1) - book[word]
-            path = np.concatenate([np.take_along_axis(path, parent[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
-        top = np.argmin(error, axis=1)
-        codes.append(path[np.arange(n), top])
-        norms.append(np.linalg.norm(v - left[np.arange(n), top], axis=1))
-    return (np.concatenate(codes), np.concatenate(norms).astype(np.float32)) if codes else (np.zeros((0, len(books)), np.int16), np.zeros(0, np.float32))
+        near, left = beam_search(v, books[:levels], max(probes, beam))
+        path, rest = beam_search(left[:, 0], books[levels:], beam)
+        cells.append(near[:, :probes])
+        codes.append(np.concatenate([near[:, 0], path[:, 0]], axis=1))
+        norms.append(np.linalg.norm(v - rest[:, 0], axis=1).astype(np.float32))
+    return np.concatenate(cells), np.concatenate(codes), np.concatenate(norms)
 
 
 def decode(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
@@ -124,7 +152,8 @@ def neighbours(vectors: DataFrame, key: str = "fact_idx", vector: str = "embeddi
     vectors of another length, with null, NaN or infinite values or of length 0 have no row and are no one's neighbour.
     Vectors of the same direction are one class: a class is compared once, and as only its k + 1 least keys can be among
     anyone's nearest, copies never multiply. Codebooks are fitted on a sample of at most `sample` classes drawn by a hash;
-    every class is indexed and every class is a query. Large or much asked cells are cut into blocks, all of which meet.
+    every class is indexed and every class is a query. Large or much asked cells are cut into blocks, all of which meet, and
+    the work of a query doesn't grow with the table: cells are about as large, and probes and reranked vectors as many.
     An empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -132,89 +161,110 @@ def neighbours(vectors: DataFrame, key: str = "fact_idx", vector: str = "embeddi
     units = cut(_unit_rows(vectors, key, vector, version, s.dim))
     members = units.select("k", "h")
     classes = cut(units.groupBy("h").agg(F.min("k").alias("c"), F.count(F.lit(1)).alias("n"), F.first("u").alias("u")))
-    n = classes.count()
+    n, n_units = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
     draw = classes.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000_007)) < int(1_000_000_007 * min(1.0, s.sample / max(n, 1))))
     x = _matrix([r[0] for r in draw.select("u").limit(2 * s.sample).collect()], s.dim)
     if not len(x):
         return spark.createDataFrame([], f"`{key}` {kind}, near array<struct<neighbour:{kind},cosine:double>>")
-    cells = int(min(4096, 2 ** max(0, round(np.log2(2 * np.sqrt(n))))))
-    books = spark.sparkContext.broadcast(fit(x, cells, s))
+    fitted = fit(x, s.levels(n), s)
+    sizes = [len(b) for b in fitted[: len(s.levels(n))]]
+    books = spark.sparkContext.broadcast(fitted)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b_ = books.value
-        lead, half = b_[0], (b_[0] ** 2).sum(1) / 2
         for b in batches:
-            u = _matrix(b.column(1).to_pylist(), s.dim)
-            codes, norms = encode(u, b_, s.beam)
-            keep = min(s.probes, len(lead))
-            near = np.concatenate([np.argpartition(half - u[a : a + 4096] @ lead.T, keep - 1, axis=1)[:, :keep] for a in range(0, len(u), 4096)]) if len(u) else np.zeros((0, keep), int)
+            cells, codes, norms = encode(_matrix(b.column(1).to_pylist(), s.dim), books.value, s.beam, len(sizes), s.probes)
+            ids = cell_ids(cells, sizes)
+            width = codes.shape[1] * 2
+            flat = pa.py_buffer(np.ascontiguousarray(codes).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(codes[:, 0].astype(np.int32)), pa.array([c.tobytes() for c in codes[:, 1:]], pa.binary()), pa.array(norms), pa.ListArray.from_arrays(np.arange(0, near.size + 1, keep, dtype=np.int32), near.ravel().astype(np.int32))],
-                names=["c", "u", "cell", "codes", "norm", "probes"],
+                [b.column(0), b.column(1), pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(codes), [None, flat]).cast(pa.binary()), pa.array(norms), pa.ListArray.from_arrays(np.arange(0, ids.size + 1, ids.shape[1], dtype=np.int32), ids.ravel())],
+                names=["c", "u", "codes", "norm", "probes"],
             )
 
-    indexed = cut(classes.select("c", "u").mapInArrow(index, f"c {kind}, u binary, cell int, codes binary, norm float, probes array<int>"))
-    # How many blocks each cell is cut into, by its vectors and by those that ask it; one row a cell, at most 4,096.
-    held = indexed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("d"))
-    asked = indexed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("q"))
-    blocks = F.broadcast(cut(held.join(asked, "cell").select("cell", F.col("d").cast("int").alias("d"), F.col("q").cast("int").alias("q"))))
-    part = lambda by, m: F.pmod(F.xxhash64("c", F.lit(by)), m)
-    data = indexed.toDF(*indexed.columns).join(blocks, "cell").select("cell", part(1, F.col("d")).cast("int").alias("d"), F.explode(F.expr("sequence(0, q - 1)")).alias("q"), F.col("c").alias("o"), F.col("u").alias("v"), "codes", "norm")
-    ask = indexed.select("c", "u", F.explode("probes").alias("cell")).join(blocks, "cell").select("cell", F.explode(F.expr("sequence(0, d - 1)")).alias("d"), part(2, F.col("q")).cast("int").alias("q"), "c", "u")
-
-    def compare(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return search(left, right, books.value, s)
+    indexed = cut(classes.select("c", "u").mapInArrow(index, f"c {kind}, u binary, codes binary, norm float, probes array<long>"))
+    # How many blocks a cell is cut into, by its vectors and by those that ask it, if it is more than one.
+    count = indexed.select(F.posexplode("probes").alias("rank", "cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"), F.count_if(F.col("rank") == 0).alias("d"))
+    count = count.select("cell", F.ceil(F.col("d") / s.block).cast("int").alias("d"), F.ceil(F.col("q") / s.block).cast("int").alias("q")).where("d > 1 or q > 1")
+    blocks = checked_broadcast(cut(count), 200_000)[0]
+    cutting = lambda df: df.join(blocks, "cell", "left").withColumns({"d": F.coalesce("d", F.lit(1)), "q": F.coalesce("q", F.lit(1))})
+    part = lambda by, m: F.pmod(F.xxhash64("c", F.lit(by)), F.col(m)).cast("int")
+    data = cutting(indexed.select("c", "u", "codes", "norm", F.col("probes")[0].alias("cell"))).select("cell", part(1, "d").alias("d"), F.explode(F.expr("sequence(0, q - 1)")).alias("q"), F.col("c").alias("o"), F.col("u").alias("v"), "codes", "norm")
+    ask = cutting(indexed.select("c", "u", F.posexplode("probes").alias("rank", "cell"))).select("cell", F.explode(F.expr("sequence(0, d - 1)")).alias("d"), part(2, "q").alias("q"), "c", "u", "rank")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        c, start, others, cosines = search(left, right, books.value, s)
+        near = pa.ListArray.from_arrays(start, pa.StructArray.from_arrays([pa.array(-cosines), others], ["s", "o"]))
+        return pa.table([c, near], names=["c", "x"])
 
     by = ["cell", "d", "q"]
-    best = ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInPandas(compare, f"c {kind}, others array<{kind}>, cosines array<double>")
-    pair = best.select("c", F.explode(F.arrays_zip("others", "cosines")).alias("x")).select("c", F.col("x.others").alias("o"), F.col("x.cosines").alias("s"))
-    nearest = pair.groupBy("c").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "o"))), 1, s.k).alias("x"))
-    pair = nearest.select("c", F.explode("x").alias("x")).select("c", F.col("x.o").alias("o"), (-F.col("x.s")).alias("s"))
+    best = ask.groupBy(*by).cogroup(data.groupBy(*by)).applyInArrow(compare, f"c {kind}, x array<struct<s: double, o: {kind}>>")
+    nearest = best.groupBy("c").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, s.k).alias("x"))
+    flat = nearest.select("c", F.explode("x").alias("e")).select("c", "e.o", "e.s")
     # Only classes of several keys need their k + 1 least keys; the others are their one key.
     several = classes.where("n > 1").select("h", "c")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("k"))).where(F.col("r") <= s.k + 1)
     firsts = cut(first.join(several, "h").groupBy("c").agg(F.collect_list("k").alias("ks")))
-    own = firsts.select("c", F.explode("ks").alias("f"), F.lit(1.0).alias("s"))
-    wide = pair.join(firsts.withColumnRenamed("c", "o"), "o", "left").select("c", F.explode(F.coalesce("ks", F.array("o"))).alias("f"), "s")
-    ranked = wide.unionByName(own).groupBy("c").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "f"))), 1, s.k + 1).alias("x"))
-    listed = classes.select("h", "c").join(ranked, "c", "left").select("h", F.coalesce(F.transform("x", lambda e: F.struct(e["f"].alias("neighbour"), (-e["s"]).alias("cosine"))), F.array().cast(f"array<struct<neighbour:{kind},cosine:double>>")).alias("x"))
-    return members.join(listed, "h").select(F.col("k").alias(key), F.slice(F.filter("x", lambda e: e["neighbour"] != F.col("k")), 1, s.k).alias("near"))
-
-
-def search(left: pd.DataFrame, right: pd.DataFrame, books: list[np.ndarray], s: Settings) -> pd.DataFrame:
-    """The k best of the block's vectors (right) for each of its queries (left)."""
-    none = pd.DataFrame({"c": [], "others": [], "cosines": []})
-    if not len(left) or not len(right):
-        return none
-    right = right.sort_values("o")
-    ids, data = right["o"].to_numpy(), _matrix(right["v"], s.dim)
-    codes = _matrix(right["codes"], len(books) - 1, np.int16)
-    norm = np.maximum(right["norm"].to_numpy(np.float32), 1e-6)[:, None]
-    cell, qs = books[0][right["cell"].iloc[0]], left["c"].to_numpy()
-    queries = _matrix(left["u"], s.dim)
-    out_o, out_s = [], []
-    for a in range(0, len(queries), STEP):
-        q = queries[a : a + STEP]
-        score = np.tile(q @ cell, (len(ids), 1))
-        for m, book in enumerate(books[1:]):
+    known = checked_broadcast(firsts, 100_000, 160)[0]
+    wide = flat.join(known.withColumnRenamed("c", "o"), "o", "left").select("c", F.explode(F.coalesce("ks", F.array("o"))).alias("f"), "s")
+    ranked = wide.groupBy("c").agg(F.collect_list(F.struct("s", "f")).alias("x"))
+    own = F.transform(F.coalesce("ks", F.array().cast(f"array<{kind}>")), lambda f: F.struct(F.lit(-1.0).alias("s"), f.alias("f")))
+    all_ = F.slice(F.array_sort(F.concat(F.coalesce("x", F.array().cast(f"array<struct<s:double,f:{kind}>>")), own)), 1, s.k + 1)
+    listed = classes.select("h", "c", "n").join(ranked, "c", "left").join(known, "c", "left").select("h", "c", "n", F.transform(all_, lambda e: F.struct(e["f"].alias("neighbour"), (-e["s"]).alias("cosine"))).alias("x"))
+    listed = cut(listed) if not several.isEmpty() else listed
+    near = lambda df: df.select(F.col("k").alias(key), F.slice(F.filter("x", lambda e: e["neighbour"] != F.col("k")), 1, s.k).alias("near"))
+    single = near(listed.where("n = 1").withColumnRenamed("c", "k"))
+    if several.isEmpty():
+        return single
+    # A direction that very many keys share has one list, which is sent to all of them; there are at most 1,000 such.
+    hot = F.broadcast(classes.where(F.col("n") > max(1000, n_units // 1000)).select("h"))
+    lists = listed.where("n > 1").select("h", "x")
+    many = members.join(hot, "h", "left_semi").join(F.broadcast(lists.join(hot, "h", "left_semi")), "h")
+    few = members.join(hot, "h", "left_anti").join(lists, "h")
+    return single.unionByName(near(many)).unionByName(near(few))
+
+
+def search(left: pa.Table, right: pa.Table, books: list[np.ndarray], s: Settings) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+    """The k best of the block's vectors (right) for each of its queries (left): queries, offsets, neighbours, cosines."""
+    ids = right.column("o").combine_chunks() if right.num_rows else right.column("o")
+    if not left.num_rows or not right.num_rows:
+        return left.column("c").slice(0, 0).combine_chunks(), np.zeros(1, np.int32), pa.array([], right.schema.field("o").type), np.zeros(0)
+    order = pc.sort_indices(right.column("o"))
+    right = right.take(order)
+    ids, data = right.column("o").combine_chunks(), _matrix(right.column("v").to_pylist(), s.dim)
+    place = {k: i for i, k in enumerate(ids.to_pylist())}
+    codes = _matrix(right.column("codes").to_pylist(), len(books), np.int16)
+    norm = np.maximum(right.column("norm").to_numpy().astype(np.float32), 1e-6)[:, None]
+    left = left.take(pc.sort_indices(left.column("rank")))
+    rank = left.column("rank").to_numpy()
+    qs = left.column("c").combine_chunks()
+    self_ = np.array([place.get(k, -1) for k in qs.to_pylist()])
+    queries = _matrix(left.column("u").to_pylist(), s.dim)
+    starts, found, cosines = [np.zeros(1, np.int64)], [], []
+    ends = np.searchsorted(rank, np.arange(s.probes + 1))
+    steps = [(a, min(a + STEP, ends[r + 1]), s.rerank[min(r, len(s.rerank) - 1)]) for r in range(s.probes) for a in range(ends[r], ends[r + 1], STEP)]
+    for a, b, keep in steps:
+        q, own = queries[a:b], self_[a:b]
+        score = np.zeros((len(ids), b - a), np.float32)
+        for m, book in enumerate(books):
             score += np.take(book @ q.T, codes[:, m], axis=0)
         score /= norm
-        score[ids[:, None] == qs[None, a : a + STEP]] = -9
-        keep = min(len(ids), max(s.rerank, int(len(ids) * s.rerank_share)))
-        top = np.argpartition(-score.T, keep - 1, axis=1)[:, :keep]
-        near = np.einsum("qd,qrd->qr", q, data[top])
-        near[ids[top] == qs[a : a + STEP, None]] = -9
+        at = np.flatnonzero(own >= 0)
+        score[own[at], at] = -9
+        keep = min(len(ids), keep)
+        top = np.argpartition(np.ascontiguousarray(-score.T), keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (b - a, 1))
+        near = np.matmul(data[top], q[:, :, None])[:, :, 0]
+        near[top == own[:, None]] = -9
         few = min(keep, 3 * s.k)  # float32 decides all but the last digits
         top = np.sort(np.take_along_axis(top, np.argpartition(-near, few - 1, axis=1)[:, :few], 1), axis=1)
         exact = np.round(np.einsum("qd,qrd->qr", q.astype(np.float64), data[top].astype(np.float64)), 6)
-        exact[ids[top] == qs[a : a + STEP, None]] = -9
+        exact[top == own[:, None]] = -9
         order = np.argsort(-exact, axis=1, kind="stable")[:, : s.k]
         exact, top = np.take_along_axis(exact, order, 1), np.take_along_axis(top, order, 1)
-        for e, t in zip(exact, top):
-            some = e > -2
-            out_o.append(ids[t[some]].tolist())
-            out_s.append(e[some].tolist())
-    return pd.DataFrame({"c": qs, "others": out_o, "cosines": out_s})
+        some = exact > -2
+        starts.append(some.sum(axis=1))
+        found.append(top[some])
+        cosines.append(exact[some])
+    return qs, np.cumsum(np.concatenate(starts)).astype(np.int32), ids.take(pa.array(np.concatenate(found))), np.concatenate(cosines)
 
 
 def neighbour_rows(near: DataFrame, key: str = "fact_idx") -> DataFrame:

@@ -40,7 +40,7 @@ def test_small_tables_are_exact_with_copies_ties_and_unusable_vectors(spark):
     v = rng.normal(size=64).astype(np.float16).astype(np.float32)
     rows = [(i, v * (2.0 if i % 2 else 1.0)) for i in range(40)] + clustered(60, rng)[40:]
     bad = [(200, None), (201, np.zeros(64)), (202, np.full(64, np.nan)), (203, v[:10]), (204, np.r_[v[:63], np.inf]), (205, [])]
-    s = Settings(rerank=64, probes=32)
+    s = Settings(rerank=(64, 64), probes=32)
     got = {r["fact_idx"]: [(x["neighbour"], x["cosine"]) for x in r["near"]] for r in neighbours(table(spark, rows + bad), s=s).collect()}
     assert got == {i: [(j, float(c)) for j, c in w] for i, w in brute(rows).items()}
 
@@ -56,7 +56,26 @@ def test_repeated_rows_single_row_and_empty(spark):
 def test_codes_get_closer_with_each_codebook():
     x = np.random.default_rng(2).normal(size=(2000, 64)).astype(np.float32)
     s = Settings(books=4)
-    books = fit(x, 16, s)
-    errors = [((x - decode(encode(x, books[:m], 3)[0], books[:m])) ** 2).sum(1).mean() for m in range(1, 6)]
+    books = fit(x, [16], s)
+    errors = [((x - decode(encode(x, books[:m], 3)[1], books[:m])) ** 2).sum(1).mean() for m in range(1, 6)]
     assert all(a > b for a, b in zip(errors, errors[1:]))
-    assert ((x - decode(encode(x, books, 4)[0], books)) ** 2).sum() <= ((x - decode(encode(x, books, 1)[0], books)) ** 2).sum()
+    assert ((x - decode(encode(x, books, 4)[1], books)) ** 2).sum() <= ((x - decode(encode(x, books, 1)[1], books)) ** 2).sum()
+
+
+def test_cells_of_several_books_hold_as_much_at_any_size(spark):
+    s = Settings()
+    for n in (1_000, 300_000, 30_000_000, 3_000_000_000):
+        cells = np.prod([float(x) for x in s.levels(n)])
+        assert n / cells / s.hold < 2 and max(s.levels(n)) <= s.lead
+    rows = clustered(3000, np.random.default_rng(3))
+    small = Settings(hold=100, lead=4, words=16)
+    assert len(small.levels(3000)) == 2
+    got = {r["fact_idx"]: {x["neighbour"] for x in r["near"]} for r in neighbours(table(spark, rows), s=small).collect()}
+    want = brute(rows)
+    assert sum(len(got[i] & {j for j, _ in w}) for i, w in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_a_direction_of_very_many_keys_has_one_list(spark):
+    v = np.random.default_rng(4).normal(size=(3, 64)).astype(np.float32)
+    got = {r["fact_idx"]: [x["neighbour"] for x in r["near"]] for r in neighbours(table(spark, [(i, v[0]) for i in range(1100)] + [(2000, v[1]), (2001, v[2])])).collect()}
+    assert len(got) == 1102 and got[1000] == list(range(8)) and got[3] == [0, 1, 2, 4, 5, 6, 7, 8] and len(got[2000]) == 8
