@@ -45,11 +45,13 @@ def posterior(patterns: np.ndarray, prior: float, table: np.ndarray) -> np.ndarr
     return e[:, 1] / e.sum(axis=1)
 
 
-def cutoff(p: np.ndarray, counts: np.ndarray) -> float:
-    """The posterior from which on the expected F1 is best; never under one half."""
-    order = np.argsort(-p)
-    hit, all_ = np.cumsum((p * counts)[order]), np.cumsum(counts[order])
-    f1 = 2 * hit / np.maximum(all_ + (p * counts).sum(), 1e-9)
+def cutoff(p: np.ndarray, counts: np.ndarray, judge: np.ndarray | None = None) -> float:
+    """The posterior from which on the expected F1 is best; never under one half. With judge, what is true is what that says,
+    the posteriors of a model that was fitted on other rows."""
+    judge = p if judge is None else judge
+    order = np.argsort(-p, kind="stable")
+    hit, all_ = np.cumsum((judge * counts)[order]), np.cumsum(counts[order])
+    f1 = 2 * hit / np.maximum(all_ + (judge * counts).sum(), 1e-9)
     return max(0.5, float(p[order][int(np.argmax(f1))])) if len(p) else 0.5
 
 

@@ -23,7 +23,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 SAMPLE = 60_000
 #: Given names that are sent to every task, at most.
 MOST_NAMES = 2_000_000
-#: A word in more than this part of the documents is a common word.
+#: A word in more than this part of the texts, by three standard deviations, is a common word.
 COMMON = 0.004
 #: A type of which fewer candidates are drawn is decided by the label model.
 FEW = 20
@@ -50,25 +50,28 @@ ADDRESS = [
     re.compile(rf"(?<![\w-])(?:Calle|C/|Avenida|Avda\.?|Av\.|Plaza|Paseo|Camino|Carretera|Ronda|Travesía|Rambla|Callejón)\s[^,\n]{{2,40}},\s(?:n\.?º\s)?\d{{1,4}}[A-Z]?(?:,\s\d+\.?º\s?\w?)?,\s\d{{5}}\s{_TOWN}"),
 ]
 _C = lambda words: re.compile(rf"(?:^|[^\w])(?:{words})[\s:=|.,\"'(<#-]*$", re.I)
-PHONE_BEFORE = _C(r"tel|tél|phone|telefon|teléfono|téléphone|mobile|mobil|móvil|portable|handy|cell|fax|fax and phone|call|call on|called|rang from|ring(?: back)? on|ring|night line|line|hotline|rückruf unter|anruf unter|unter|appeler le|appelez le|llamar al?|llame al|whatsapp|sms|contact")
-PHONE_AFTER = re.compile(r"^[\s,;.)]*(?:\(ward|after six|any time|twice|am abend|are shared|extension|ext\b)", re.I)
+PHONE_BEFORE = _C(r"tel|tél|phone|telefon|teléfono|téléphone|mobile|mobil|móvil|portable|handy|cell|fax|fax and phone|call|call on|called|rang from|ring(?: back)? on|ring|dial|line|hotline|rückruf unter|anruf unter|unter|appeler le|appelez le|llamar al?|llame al|whatsapp|sms|contact")
+PHONE_AFTER = re.compile(r"^[\s,;.)(]*(?:ext\b|extension|durchwahl|poste \d|mobile|home|work|office|direct|ward|(?:any ?time|before|after|between|from|until|weekdays?|daily|ab|nach|vor|zwischen|werktags|am (?:vormittag|nachmittag|abend)|avant|après|entre|antes|después|desde)\b)", re.I)
 PHONE_SHAPE = re.compile(r"\+\d|00\d\d|\(\+?\d{2,5}\)|1?-?\d{3}[-. ]\d{3}[-. ]\d{3,4}$|0\d|1-\d{3}-")
 ID_BEFORE = _C(r"ssn|social security(?: no| number)?|mrn|record(?: number| no)?|passport(?: no| number)?|ausweis(?:nummer|nr)?|reisepass(?:nummer)?|versicherten(?:nummer|nr)?(?: lautet)?|versicherungsnummer|member(?:ship)?(?: id| no| number)?|health card|patient(?: number| no| id|ennummer|en-nr)|insurance(?: number| no)?|nhs(?: number| no)?|numéro de (?:dossier|sécurité sociale|patient)|dossier|carte (?:de santé|vitale|d'identité)|número de (?:historia|paciente|afiliado|seguridad social)|historia|tarjeta sanitaria|dni|nie|nif|nir|pasaporte(?: n.?)?|passeport(?: n.?)?|identity(?: card| number| no)?|national id|id(?: no| number)?|chart(?: number| no)?|svnr|krankenkasse(?:nnummer)?|subject(?:[ _](?:no|number|id))?")
-ID_AFTER = re.compile(r"^[\s,;.)]*(?:was copied|was opened|is on file|admitted|lag vor|was checked)", re.I)
+ID_AFTER = re.compile(r"^[\s,;.)]*(?:(?:is|was|were|has been|had been|lag|liegt|wurde|ist|est|figure|a été|es|fue|consta)\b|admitted|issued|valid|expires)", re.I)
 ID_SHAPE = re.compile(r"\d{3}([- ])\d\d\1\d{4}$|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]$|[A-Z]\d{7,9}$|[A-Z]-\d{4}-\d{3}$|\d{4} \d{3} \d\d-\d$|\d{8}[A-Z]$")
 NOT_PERSON_BEFORE = _C(r"lot|batch(?: of)?|trial|study|pmid|pmc|doi|cas|ndc|rows?|code|nct|isbn|issn|eudract|patent|product|version|serial(?: no| number)?|model|chapter|section|table|figure|page|ward|bed|isrctn|item|order|invoice|ref|set at|held|estudio|studie|étude|charge|lote|in study")
 ADDRESS_BEFORE = _C(r"address|lives at|living at|deliver to|visit at|sent to|back from|house at|adresse|wohnhaft in|wohnt in|habite|domicile|vive en|domicilio|dirección|anschrift|resides at|home|addr|post to|ship to")
 NAME_TITLE = re.compile(r"(?:^|[^\w=])(?:mr|mrs|ms|miss|dr|prof|herr|herrn|frau|mme|mlle|m|monsieur|madame|señora?|sra?|don|doña|nurse|sister|schwester|pfleger|patient|patiente|patientin|paciente|doctor|docteur|doctora|professor|sir|lady)\.?\s$", re.I)
 NAME_BEFORE = _C(r"signed|signé|signature|gezeichnet|firmado|name|nom|nombre|contact_person|contact|witness|reported by|filed by|written by|according to|spoke with|left with|asked by|seen by|regards|wishes|grüße|saludos|cordialement|on duty|sincerely|reporter|author")
-NAME_AFTER = re.compile(r"^[\s,]*(?:reported|noted|called|reread|klagte|meldete|a signalé|a arrêté|dejó|avisó|gave|asked|and a relative|nor the|was seen|overnight|on the ward|said|wrote|told|rang|sagte|berichtete|a dit|dijo|: is this|came back)", re.I)
-NOT_NAME_AFTER = re.compile(r"^(?:'s)?[\s-]*(?:syndrome|disease|scale|sign|test|score|index|study|trial|cohort|clinic|hospital|institute|institut|university|centre|center|foundation|pharma|laborator|street|road|avenue|method|criteria|reaction|maneuver|manoeuvre|procedure|classification|krankheit|klinik|hôpital|clinique|clínica|hospital|met its|II\b|III\b|IV\b|\d|-\d|ran on|group|consortium|effect|staining|equation)", re.I)
+NAME_AFTER = re.compile(r"^[\s,]*(?:(?:has|had|have|and (?:his|her|their)|who|whose)\b|reported|noted|called|complained|described|mentioned|phoned|confirmed|denied|visited|returned|stopped|started|took|gave|asked|said|wrote|told|rang|felt|was (?:seen|admitted|given|born|told|asked)|klagte|meldete|sagte|berichtete|erzählte|rief|nahm|bat|hat\b|wurde\b|a (?:signalé|arrêté|dit|pris|appelé|demandé|indiqué)|dejó|avisó|dijo|llamó|tomó|pidió|refirió)", re.I)
+NOT_NAME_AFTER = re.compile(r"^(?:'s)?[\s-]*(?:syndrome|disease|scale|sign|test|score|index|study|trial|cohort|clinic|hospital|institute|institut|university|centre|center|foundation|pharma|laborator|street|road|avenue|method|criteria|reaction|maneuver|manoeuvre|procedure|classification|krankheit|klinik|hôpital|clinique|clínica|hospital|met (?:its|the)|(?:enrol|recruit|randomi[sz])\w+|II\b|III\b|IV\b|\d|-\d|group|consortium|effect|staining|equation)", re.I)
 NOT_NAME_BEFORE = re.compile(r"(?:^|[^\w])(?:study|trial|model|lot|batch|code|the|cohort|estudio|studie|étude|project|system)\s$", re.I)
 SENTENCE_WORDS = frozenset("neither nor while because since although however also both either each every please thanks dear hello best kind warm yours until again still later today yesterday ja nein liebe lieber mit estimado estimada cher chère bonjour hola dijo she he her his we they you member id record health card passport number national insurance call mobile telefon send study asked signed contact reporter witness phone mail email tel fax address name".split())
 _CAP = r"(?:[A-ZÀ-Þ](?:[^\W\d_]|['’])+(?:-[A-ZÀ-Þ](?:[^\W\d_]|['’])+)*(?![\w(\[#=@]))"
-RUN = re.compile(rf"(?<![\w@.#/-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:(?:,[ \xa0]|[ \xa0])(?:{_CAP}|[A-ZÀ-Þ]\.))*")
+_PARTICLES = "de la|de las|de los|del|de|da|das|dos|do|di|della|du|des|le|la|van der|van den|van de|van|von der|von|zu|zur|ter|ten|bin|ibn|al|el|y|e"
+RUN = re.compile(rf"(?<![\w@.#/-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:(?:,[ \xa0]|[ \xa0](?:(?:{_PARTICLES})[ \xa0])?)(?:{_CAP}|[A-ZÀ-Þ]\.))*")
 _TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señor señora sr sra don doña nurse sister schwester pfleger patient patiente patientin paciente doctor docteur doctora professor sir lady".split())
 
 
+_INSIDE = re.compile(r"(?:^|[^\w-])[^\W\d_A-ZÀ-Þ][^\W\d_]*[ \xa0]$")
+_CUE_WORDS = frozenset(w.casefold() for p in (PHONE_BEFORE, ID_BEFORE, NOT_PERSON_BEFORE, ADDRESS_BEFORE, NAME_BEFORE) for w in re.findall(r"[^\W\d_]{3,}", p.pattern))
 # Ends of the text before a name that are worth the patterns above.
 _STOPS = " :=|.,\"'(<#-\t\xa0"
 _TITLE_ENDS = tuple(sorted(_TITLES | {"m"}))
@@ -128,13 +131,15 @@ def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str],
     apart = next((i for i in range(4) if b + i in starts), len(right))
     against = bool(NOT_NAME_AFTER.match(right[:apart]) or (study and not title))
     pair = len(words) > 1 and (comma or known or any(w.isupper() for w in words) != all(w.isupper() for w in words) or len(part) > len(words))
+    # Several words that are not ordinary, written as names are.
+    form = (len(words) > 1 or len(part) > len(words) > 0) and all(len(w) > 2 for w in words)
     if not (known or title or before or after or pair or len(words) > 1):
         return
     if re.match(r"[-–]\d|\d", right):
         return
     w1, w2 = _around(text, a, b)[2:]
     plain = any(w.casefold() in common and w.casefold() not in given for w in words)
-    votes = [1 if known else -1, 1 if title else -1, 1 if before else -1, 1 if after else -1, 1 if pair or len(part) > len(words) else 0 if len(words) == 1 and not title else -1, 0 if against else -1, 0 if plain else -1]
+    votes = [1 if known else -1, 1 if title else -1, 1 if before else -1, 1 if after else -1, 1 if pair or len(part) > len(words) else 0 if len(words) == 1 and not title else -1, 0 if against else -1, 0 if plain else -1, 1 if form and not plain else -1]
     tail = next((w for w in reversed(words) if w.casefold() not in given), words[-1]).casefold()
     yield a, b, value, votes, (tail[:3], tail[-3:], tail[-4:], known, len(part)), w1, w2
 
@@ -156,12 +161,16 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
             # As many tokens as a name may have: initials, given names, one family name, or family name, given names.
             part = [tokens[at]]
             comma = False
-            more = None
+            more = longer = None
             families = int(low not in given and len(low) > 1)
-            for nxt in tokens[at + 1 : at + 5]:
+            for i in range(at + 1, len(tokens)):
+                nxt = tokens[i]
                 between, word = text[part[-1][1] : nxt[0]], nxt[2].casefold().rstrip(".")
                 if word in _TITLES:
                     break
+                if between.strip(" \xa0,"):  # a particle
+                    longer = i
+                    break
                 if (word in common or word in often) and word not in given and len(word) > 1:
                     known = part[0][2].casefold() in given or len(part[0][2]) == 2
                     if "," not in between and not comma and not ordinary and families < 2 - known and (known or any(_cues(text, part[0][0])[1:3]) or (word not in common and NAME_AFTER.match(text[nxt[1] : nxt[1] + 40]))):
@@ -176,6 +185,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
                 elif len(word) > 1 and word not in given and families and not comma:
                     # A second family-like token: the first may be an unknown given name, a third is none.
                     if sum(len(p[2].rstrip(".")) > 1 for p in part) >= 2 or part[0][2].casefold() in given or len(part[0][2]) == 2:
+                        longer = i
                         break
                 if len(word) > 1 and word not in given:
                     families += 1
@@ -190,6 +200,13 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
             # What follows an ordinary word may be a name without it.
             at += 1 if ordinary else len(part)
             yield from _candidate(text, part, comma, given, common, starts)
+            if longer and not comma and not ordinary and _INSIDE.search(text[max(0, part[0][0] - 24) : part[0][0]]):
+                # Further family names, with their particles, as far as words go that are not ordinary.
+                end = longer
+                while end < len(tokens) and "," not in text[tokens[end - 1][1] : tokens[end][0]] and len(w := tokens[end][2].casefold().rstrip(".")) > 1 and w not in common and w not in often and w not in _TITLES and w not in _CUE_WORDS:
+                    end += 1
+                if end > longer:
+                    yield from _candidate(text, [*part, *tokens[longer:end]], False, given, common, starts)
 
 
 def candidates(text: str, given: frozenset[str], common: frozenset[str], often: frozenset[str] = frozenset()) -> list[tuple]:
@@ -247,6 +264,11 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], often:
     return marked
 
 
+def _better(score: float, value: str, best: tuple) -> bool:
+    """Surer, or about as sure and longer."""
+    return (round(score, 2), len(value)) > (round(best[4], 2), len(best[3]))
+
+
 class Model:
     """What decides: the gazetteer, the common words and those that are often capitalised, and a classifier a type."""
 
@@ -279,25 +301,27 @@ class Model:
         p = self.scores([c[2] for c in found], np.array([c[5] for c in found]), [c[4] for c in found])
         best: dict[int, tuple] = {}
         for c, s in zip(found, p):
-            if s > 0.5 and (c[6] not in best or s > best[c[6]][4]):
+            if s > 0.5 and (c[6] not in best or _better(s, c[3], best[c[6]])):
                 best[c[6]] = (c[0], c[1], c[2], c[3], float(s))
         return list(best.values())
 
-    def redact(self, text: str) -> str:
-        out, at = [], 0
-        for a, b, kind, _, _ in sorted(self.spans(text)):
+    def redact(self, text: str) -> tuple[str, int]:
+        """The text with placeholders, and how many."""
+        out, at, found = [], 0, sorted(self.spans(text))
+        for a, b, kind, _, _ in found:
             out += [text[at:a], PLACEHOLDERS[kind]]
             at = b
-        return "".join(out) + text[at:]
+        return "".join(out) + text[at:], len(found)
 
 
 def common_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Words that many texts write in lower case, and other words that many texts write otherwise, folded: more than 20, and
-    more than COMMON of all. Texts of the same words, however often they repeat, are one text; an email has no words, as
+    """Words that many texts write in lower case, and other words that many texts write otherwise, folded: surely more than
+    COMMON of all, at any number of texts. Texts of the same words, however often they repeat, are one text; an email has no words, as
     they may be names."""
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace("t", _EMAIL_LIKE, " "), F.lit(r"\p{L}{2,}"), F.lit(0))))
     each = cut(texts.select(words.alias("w")).groupBy(F.xxhash64("w")).agg(F.first("w").alias("w")).select("w"))
-    least = max(20, each.count() * COMMON)
+    mean = each.count() * COMMON
+    least = mean + 3 * mean**0.5 + 3
     seen = [r[0] for r in each.select(F.explode("w").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("w").collect()]
     common = frozenset(w for w in seen if w == w.lower())
     return common, frozenset(w.casefold() for w in seen) - common
@@ -317,7 +341,7 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
     """The model, and the scored candidates of all documents (key, start, cluster, pii_type, pii_value, score).
 
     Word counts, candidates and vote patterns are of all documents and whole texts. The common words are at most
-    1 / COMMON times the mean number of words of a document, the patterns at most 3 ** 6 a type; the classifier is trained
+    1 / COMMON times the mean number of words of a document, the patterns at most 3 ** 8 a type; the classifier is trained
     on about `sample` candidates, and a type of which few are drawn is decided by the label model. Null and empty texts have no candidates; without any given name, context and form decide.
     """
     spark = docs.sparkSession
@@ -370,9 +394,10 @@ def learn(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def personal_information(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pii_type, pii_value, n: what each document holds and how often; of spans that overlap the surest one."""
+    """key, pii_type, pii_value, n: what each document holds and how often; of spans that overlap the surest one, or the longest of those
+    that are about as sure."""
     _, scored = learn(docs, names, key, text)
-    sure = scored.where("score > 0.5").groupBy(key, "cluster").agg(F.max_by(F.struct("pii_type", "pii_value"), F.struct("score", "start")).alias("x"))
+    sure = scored.where("score > 0.5").groupBy(key, "cluster").agg(F.max_by(F.struct("pii_type", "pii_value"), F.struct(F.round("score", 2), F.length("pii_value"), -F.col("start"))).alias("x"))
     return sure.groupBy(key, "x.pii_type", "x.pii_value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -384,9 +409,7 @@ def redacted(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            new = [t and ready.value.redact(t) for t in texts]
-            changed = [0 if not t else len(ready.value.spans(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(new, pa.string()), pa.array(changed, pa.int32())], names=[key, "text", "n_spans"])
+            done = [ready.value.redact(t) if t else (t, 0) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int32())], names=[key, "text", "n_spans"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, text string, n_spans int")

@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm.defects import Endings, Languages, defects, one_defect, votes
 from factloom.llm.labels import cutoff, fit, posterior
@@ -98,11 +99,11 @@ def test_votes():
 
     def top(q, a, task="t"):
         v = votes(q, a, task, end, lang)
-        at = {"empty": v[:3], "refusal": v[3:8], "copied_question": v[8:11], "other_language": v[11:14], "truncated": v[14:]}
+        at = {"empty": v[:3], "refusal": v[3:10], "copied_question": v[10:13], "other_language": v[13:16], "truncated": v[16:]}
         return {k for k, x in at.items() if 1 in x}
 
     q = "What is the pressure of the upper valve?"
-    for a in (None, "", " \n", "\u200b", "N/A", "**Answer:**", "<answer></answer>", "```\n```", "[no output]", "-"):
+    for a in (None, "", " \n", "\u200b", "N/A", "**Answer:**", "<answer></answer>", "```\n```", "[no output]", "-", "[no content]", "(nothing here)", "no data available", "keine Antwort"):
         assert "empty" in top(q, a), a
     assert top(q, "I'm sorry, but I can't help with that.") == {"refusal"} and top(q, "I'm sorry, but I can't help with that.", "refusal") == set()
     assert top(q, "Patients who cannot swallow the tablet should not take it.") == set()
@@ -130,7 +131,7 @@ def test_defects_of_a_table(spark):
 def test_copies_of_a_cut_answer_are_found():
     q, short = "What is the pressure of the upper valve?", "The heat of the lower"
     lang = Languages(SENTENCES)
-    once, often = (votes(q, short, "t", Endings(SENTENCES + [short] * n), lang)[14:] for n in (1, 200))
+    once, often = (votes(q, short, "t", Endings(SENTENCES + [short] * n), lang)[16:] for n in (1, 200))
     assert once == often and 1 in often
 
 
@@ -228,3 +229,45 @@ def test_a_rare_type_is_found_among_many_candidates(spark):
     model, scored = learn(docs, names, sample=60)
     assert {r["doc_id"] for r in scored.where("pii_type = 'address' and score > 0.5").collect()} == {600, 601}
     assert [s[2] for s in model.spans(rows[600])] == ["address"]
+
+
+HELD_OUT = {
+    "We have sent the bill to Harriet Penhaligon and heard nothing since.": "Harriet Penhaligon",
+    "The rash came up after Ngozi Adeyemi doubled the tablets.": "Ngozi Adeyemi",
+    "It was then decided with Priyanka Venkataraghavan Subramaniam, and nobody else, to wait.": "Priyanka Venkataraghavan Subramaniam",
+    "Am Abend ist dann mit Wiebke Hollerstedt vereinbart worden, das Mittel abzusetzen.": "Wiebke Hollerstedt",
+    "Le flacon fut remis à Solenne Kervadec, qui ne put le lire.": "Solenne Kervadec",
+    "La caja fue entregada a Itziar Goikoetxea sin el prospecto.": "Itziar Goikoetxea",
+    "Nobody but O. Tregellas had opened the cabinet.": "O. Tregellas",
+}
+
+
+def test_names_without_cue_or_list_in_other_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    given_names = spark.read.parquet("/root/testdata/sf0.01/given_names.parquet")
+    more = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(HELD_OUT)], "doc_id long, text string")
+    found = {}
+    for r in personal_information(docs.unionByName(more), given_names).where("doc_id >= 1000000000 and pii_type = 'name'").collect():
+        found.setdefault(r["doc_id"] - 10**9, set()).add(r["pii_value"])
+    hits = sum(found.get(i) == {name} for i, name in enumerate(HELD_OUT.values()))
+    assert hits >= 6, found
+
+
+REWORDED = [
+    "That's beyond my remit, so I'll leave it there.", "Answering this would be irresponsible of me.", "I'd prefer to stay away from this subject; it is not one for me.", "Questions of this kind are outside what our service may discuss.",
+    "We are not in a position to say anything on that.", "I will pass on this one.", "Dazu möchte ich mich nicht äußern.", "Je préfère ne pas me prononcer, je ne suis pas en mesure de le dire.", "No puedo opinar sobre ese asunto.", "It would be wrong of me to guess here.",
+]
+PLAIN = [
+    "Sorry outcomes were rare: 34 of 88 patients declined further treatment.", "Type I reactions must not be treated with this tablet.", "The tablet should not be given to patients who cannot swallow.", "No response was seen in 5 percent of the patients.",
+    "Patients should ask a doctor before use.", "The effect is not known and the scope of the study was small.", "Factor I may not be raised in the first week.", "Treatment was refused by 3 of 40 patients.", "Das Präparat darf nicht gekaut werden.", "Avoid the sun after the infusion.",
+]
+
+
+def test_refusals_in_other_words(spark):
+    p = spark.read.parquet("/root/testdata/sf0.01/predictions.parquet").select("pred_id", "question", "task_type", "prediction", "reference_output", "loaded_at")
+    q = "What is the dose of the tablet in the first week after the infusion?"
+    more = spark.createDataFrame([(10**9 + i, q, "factual", t, t) for i, t in enumerate(REWORDED + PLAIN + ["[no content]"])], "pred_id long, question string, task_type string, prediction string, reference_output string").withColumn("loaded_at", F.current_timestamp())
+    got = {r["pred_id"] - 10**9: r["defect"] for r in one_defect(defects(p.unionByName(more))).where("pred_id >= 1000000000 and field_name = 'prediction'").collect()}
+    refused = {i for i, d in got.items() if d == "refusal"}
+    assert got.pop(20) == "empty"
+    assert len(refused & set(range(10))) >= 9 and len(refused - set(range(10))) <= 1, got
