@@ -33,6 +33,10 @@ CONFUSED = {
     "molecule_design": "molecule_description",
     "biomedical_open_qa": "fda_label_factual",
 }
+# Heads of the parts of a skill prompt.
+SKILL_EVIDENCE = "Skill-based retrieved knowledge:"
+STEPS_HEAD = "How to solve:"
+CONTEXT_HEAD = "Known information:"
 SOURCES = ["primekg", "drugchat_pubchem", "drugchat_chembl", "fdarxbench_label"]
 
 
@@ -154,3 +158,44 @@ def allowed_sources(skill: Column, skills: dict = SKILLS) -> Column:
     for name, spec in skills.items():
         out = out.when(skill == name, F.array(*map(F.lit, spec[0])))
     return out.otherwise(F.array(*map(F.lit, SOURCES)))
+
+
+# The skill that a question type asks for, and the slots that an analysed skill needs.
+SKILL_OF_TYPE = {
+    "fda_factual": "fda_label_factual", "fda_multihop": "fda_label_multihop", "fda_refusal": "fda_label_factual", "molecule_property": "molecule_property_numeric",
+    "molecule_description": "molecule_description", "molecule_design": "molecule_design", "biomedical_open_qa": "biomedical_open_qa",
+}
+ANALYSIS_SLOTS = {
+    "fda_label_factual": ["label_context"], "fda_label_multihop": ["label_context_primary", "label_context_secondary"], "fda_label_refusal": ["label_context_check", "unsupported_flag"],
+    "molecule_property_numeric": ["molecule_structure", "property_definition"], "molecule_description": ["molecule_structure"], "molecule_design": ["design_requirement"],
+    "drug_relation_qa": ["question_entities", "relation_fact"], "biomedical_open_qa": ["question_entities", "biomedical_fact"],
+}
+NO_SLOTS = ["evidence_absence_reason"]
+
+
+def allowed_by_type(question_type: Column) -> Column:
+    """Sources of the skill that a question type asks for; all for an unknown one."""
+    out = F
+    for t, skill in SKILL_OF_TYPE.items():
+        out = out.when(question_type == t, F.array(*map(F.lit, SKILLS[skill][0])))
+    return out.otherwise(F.array(*map(F.lit, SOURCES)))
+
+
+def analysis_slots(skill: Column) -> Column:
+    out = F
+    for name, slots in ANALYSIS_SLOTS.items():
+        out = out.when(skill == name, F.array(*map(F.lit, slots)))
+    return out.otherwise(F.array(*map(F.lit, NO_SLOTS)))
+
+
+def data_slots(graph: Column, molecule: Column) -> dict[str, Column]:
+    """Which slots a record fills by itself; graph and molecule say whether it has evidence of that kind."""
+    has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
+    task, question, kind = metric_text("task_type", ""), metric_text("question", ""), F.coalesce("input_type", F.lit(""))
+    label = (kind == "FDA label context") & has("input_molecule_or_context")
+    return {
+        "label_context": label, "label_context_primary": label, "label_context_secondary": task == "multihop", "label_context_check": F.coalesce(F.col("source") == "fdarxbench", F.lit(False)),
+        "unsupported_flag": (task == "refusal") | (kind == "none"), "molecule_structure": has("decoded_smiles") | kind.isin("SELFIES", "SMILES"),
+        "property_definition": task.contains("property") | question.contains("molecular weight") | question.contains("logp"), "design_requirement": has("input_molecule_or_context") & task.contains("design"),
+        "question_entities": has("question"), "biomedical_fact": graph | molecule, "relation_fact": graph, "evidence_absence_reason": ~(graph | molecule),
+    }

@@ -68,6 +68,14 @@ def mentions(question: str, context: str | None = None, drug: str | None = None,
     return F.array_distinct(F.filter(F.concat(*parts), lambda x: x.isNotNull() & (x != "")))
 
 
+def field_mentions(*fields: str, drug: str | None = None, pattern: str = WORDS_PLAIN) -> Column:
+    """Distinct normalised phrases of each field on its own, and the drug with and without salt word."""
+    spans = [F.filter(F.transform(F.regexp_extract_all(F.coalesce(col(f), F.lit("")), F.lit(pattern), F.lit(0)), norm_text), lambda x: F.length(x) >= 4) for f in fields]
+    d = norm_text(drug) if drug else F.lit(None).cast("string")
+    more = F.array(d, F.replace(F.replace(d, F.lit(" hydrochloride"), F.lit("")), F.lit(" hydrobromide"), F.lit("")))
+    return F.array_distinct(F.filter(F.concat(*spans, more), lambda x: x.isNotNull() & (x != "")))
+
+
 def query_text(question="question", drug="drug_name", context="input_molecule_or_context", smiles="decoded_smiles", task="task_type") -> Column:
     return F.concat_ws(" ", *(present(c) for c in (question, drug, context, smiles, task)))
 

@@ -16,12 +16,13 @@ def latest(rows: DataFrame, key: str = "pred_id", version: str = "loaded_at") ->
 
 
 def overlap(rows: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
-    """key, n_a, n_b, common: sizes of two bags of tokens and of their multiset intersection."""
-    flat = rows.select(key, a.alias("a"), b.alias("b"))
-    ca = flat.select(key, F.explode("a").alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("x"))
-    cb = flat.select(key, F.explode("b").alias("t")).groupBy(key, "t").agg(F.count(F.lit(1)).alias("y"))
-    common = ca.join(cb, [key, "t"]).groupBy(key).agg(F.sum(F.least("x", "y")).alias("common"))
-    return flat.select(key, F.size("a").alias("n_a"), F.size("b").alias("n_b")).join(common, key, "left").fillna(0, ["common"])
+    """key, n_a, n_b, common: sizes of two bags of tokens and of their multiset intersection, in one exploded grouping."""
+    one = lambda side: lambda t: F.struct(t.alias("t"), F.lit(1 - side).alias("x"), F.lit(side).alias("y"))
+    none = F.array().cast("array<string>")
+    flat = rows.select(key, F.explode_outer(F.concat(F.transform(F.coalesce(a, none), one(0)), F.transform(F.coalesce(b, none), one(1)))).alias("e")).select(key, "e.t", "e.x", "e.y")
+    each = flat.groupBy(key, "t").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("int")
+    return each.groupBy(key).agg(total("x").alias("n_a"), total("y").alias("n_b"), F.coalesce(F.sum(F.least("x", "y")), F.lit(0)).alias("common"))
 
 
 def words(c: Column | str, null: str = "none") -> Column:
@@ -91,12 +92,20 @@ def select_policies(scored: DataFrame, partition: Column) -> DataFrame:
     return chosen.join(got, ["model_name", "dataset", "question_type", "selected_method"], "left")
 
 
-def pivot_cells(scored: DataFrame, models: list[str]) -> DataFrame:
-    """Methods by models; a cell is "mean F1 / share exact", a dash where there is none."""
-    g = scored.groupBy("method_name", "model_name").agg(F.avg("token_f1").alias("f"), F.avg(F.col("exact").cast("double")).alias("e"))
+def cells(scored: DataFrame) -> DataFrame:
+    """method_name, model_name, cell ("mean F1 / share exact", a dash where there is none) over all methods and models."""
+    s = scored.where("model_name is not null")
+    g = s.groupBy("method_name", "model_name").agg(F.avg("token_f1").alias("f"), F.avg(F.col("exact").cast("double")).alias("e"))
     fixed = lambda c: F.format_string("%.3f", F.round(c, 3))
-    cells = g.withColumn("cell", F.concat(fixed("f"), F.lit(" / "), fixed("e")))
-    return cells.groupBy("method_name").pivot("model_name", models).agg(F.first("cell")).fillna("-", models)
+    # One row holds the names of both sides, which are the axes of a printed table.
+    axes = g.agg(F.collect_set(F.struct("method_name")).alias("ms"), F.collect_set("model_name").alias("ns")).select(F.explode("ms").alias("m"), "ns").select("m.method_name", F.explode("ns").alias("model_name"))
+    got = g.select(F.col("method_name").alias("_m"), F.col("model_name").alias("_n"), F.concat(fixed("f"), F.lit(" / "), fixed("e")).alias("cell"))
+    return axes.join(got, F.col("method_name").eqNullSafe(F.col("_m")) & (F.col("model_name") == F.col("_n")), "left").select("method_name", "model_name", F.coalesce("cell", F.lit("-")).alias("cell"))
+
+
+def pivot_cells(scored: DataFrame, models: list[str]) -> DataFrame:
+    """Methods by the named models."""
+    return cells(scored).groupBy("method_name").pivot("model_name", models).agg(F.first("cell")).fillna("-", models)
 
 
 def ordering_check(scored: DataFrame, uniform: str, skill: str, oracle: str, tolerance: float = 0.0) -> DataFrame:
@@ -112,8 +121,36 @@ def ordering_check(scored: DataFrame, uniform: str, skill: str, oracle: str, tol
 
 def missing_cells(scored: DataFrame) -> DataFrame:
     """Cells of the grid of models, methods and tasks for which there is no score."""
-    grid = scored.select("model_name").distinct().crossJoin(F.broadcast(scored.select("method_name").distinct())).crossJoin(F.broadcast(scored.select("dataset", "task_type").distinct()))
-    return grid.join(scored.select("model_name", "method_name", "dataset", "task_type").distinct(), ["model_name", "method_name", "dataset", "task_type"], "left_anti")
+    have = scored.select("model_name", "method_name", "dataset", "task_type").distinct()
+    axes = have.agg(F.collect_set("model_name").alias("a"), F.collect_set("method_name").alias("b"), F.collect_set(F.struct("dataset", "task_type")).alias("c"))
+    grid = axes.select(F.explode("a").alias("model_name"), "b", "c").select("model_name", F.explode("b").alias("method_name"), "c").select("model_name", "method_name", F.explode("c").alias("x")).select("model_name", "method_name", "x.dataset", "x.task_type")
+    return grid.join(have, ["model_name", "method_name", "dataset", "task_type"], "left_anti")
+
+
+def assert_complete(scored: DataFrame) -> DataFrame:
+    """scored, if its grid has no missing cell; else an error that names some."""
+    lacking = missing_cells(scored).limit(5).collect()
+    if lacking:
+        raise ValueError(f"no scores for {[tuple(r) for r in lacking]}")
+    return scored
+
+
+# Methods that use a skill's sources, and all method names, longest first.
+SKILL_METHODS = ["skill_schema_v1", "skill_hybrid", "bm25_skillrouted", "dense_bge_skillrouted", "dense_bge_locked", "oracle_source"]
+METHOD_NAMES = "dense_bge_skillrouted|dense_bge_locked|bm25_skillrouted|skill_schema_v1|skill_hybrid|oracle_source|dense_medcpt|dense_bge|rerank|rrf|hybrid|bm25|kg|none"
+
+
+def method_family(method: Column) -> Column:
+    return F.when(method.isin(SKILL_METHODS), "skill").otherwise("uniform")
+
+
+def method_of_file(name: Column, pattern: str = f"({METHOD_NAMES})") -> Column:
+    """The first group of the pattern in a file's name, else the name without its ending."""
+    return F.coalesce(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")), F.regexp_replace(name, r"\.[^.]*$", ""))
+
+
+def headline(numeric: str = "numeric_acc", f1_: str = "token_f1") -> Column:
+    return F.coalesce(numeric, f1_)
 
 
 def recall_words(c: Column | str) -> Column:
@@ -123,6 +160,7 @@ def recall_words(c: Column | str) -> Column:
 
 def filename_fields(name: Column) -> list[Column]:
     """model, dataset, method, variant of an evaluation file's name; the longest method names are tried first."""
+    # The methods and data sets of file names.
     methods = "bm25_skillrouted|dense_bge_skillrouted|dense_bge_locked|skill_schema_v1|oracle_source|skill_hybrid|dense_medcpt|dense_bge|skill_v1|closed_book|hybrid|rerank|routed|dense|bm25|none|rrf|kg"
     p = rf"^(.+?)_(fdarxbench_v2|fdarxbench|mol_instructions_v2|mol_instructions)_(?:({methods})_)?([a-z]+)_test_eval\.json$"
     part = lambda i: F.nullif(F.regexp_extract(name, p, i), F.lit(""))

@@ -14,6 +14,8 @@ SUBJECTS = ["compound", "molecule", "agent", "ligand"]
 PREDICATES = ["modulates", "binds", "was screened against", "showed no effect on"]
 OBJECTS = ["an unrelated receptor", "a control pathway", "an unspecified enzyme", "a reference assay"]
 SUFFIXES = [" (as reported in a secondary source)", " This was noted elsewhere.", " See related entries.", " Reported without review."]
+#: A source is one of a bank's own if it has at least this part of its facts; so there are few of them.
+SMALLEST = 0.01
 SOURCES = ["drugchat_chembl", "drugchat_pubchem", "fdarxbench_label", "primekg"]
 
 
@@ -45,12 +47,14 @@ def noise(facts: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
 
 
 def decoys(facts: DataFrame, per: int = 1, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """fact_idx, copy, source, true_source, text, n_tokens: near-copies under a wrong source of a drawn share of facts."""
+    """fact_idx, copy, source, true_source, text, n_tokens: near-copies under a wrong source of a drawn share of facts. Wrong
+    sources are the bank's own other ones."""
     total = facts.count()
+    known = [r[0] for r in facts.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= total * SMALLEST).select("source").orderBy("source").collect()]
     seeds = facts if share >= 1 else facts.join(first_by_hash(facts, "fact_idx", round(total * share), total, seed), "fact_idx", "left_semi")
     x = seeds.select("fact_idx", "source", F.coalesce("text", F.lit("")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("copy"))
     key = (str(seed), F.col("fact_idx").cast("string"), F.col("copy").cast("string"))
-    others = F.filter(F.array(*map(F.lit, SOURCES)), lambda s: s != F.coalesce("source", F.lit("")))
+    others = F.filter(F.array(*map(F.lit, known or SOURCES)), lambda s: s != F.coalesce("source", F.lit("")))
     text = F.concat("t", pick(SUFFIXES, *key, F.lit("x")))
     return x.select("fact_idx", "copy", pick(others, *key, F.lit("src")).alias("source"), F.col("source").alias("true_source"), text.alias("text"), F.size(token_set(text)).alias("n_tokens"))
 

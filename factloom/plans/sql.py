@@ -1,8 +1,11 @@
 """The same results in SQL, for comparison with the queries on the same tables."""
 
 from factloom.functions import text as T
+from factloom.functions import routing as R
 from factloom.functions.routing import CONFUSED, CUES, JOINT_CUES, LABEL_CUES, SKILLS
+from factloom.operators import builders as B
 from factloom.operators import knowledge as N
+from factloom.operators import scoring as S_
 from factloom.operators import variants as V
 
 
@@ -85,14 +88,23 @@ MENTION = f"""asked as (select distinct qid, alias from (select qa_id as qid, un
 ALIAS = f"al as (select distinct alias, fact_idx, source, relation from (select {norm('a')} as alias, fact_idx, source, relation from (select unnest(aliases) as a, fact_idx, source, relation from facts)) where alias <> '')"
 
 
-def retrieve(method: str, skill: str = ROUTE) -> str:
+ITEM_RECORDS = "qa as (select item_id as qa_id, cast(item_id as varchar) as id, dataset as source, question, text as input_molecule_or_context, cast(null as varchar) as input_type, cast(null as varchar) as decoded_smiles, gold_answer, task_type, cast(null as varchar) as drug_name, 'test' as split from eval_items)"
+
+
+def retrieve(method: str, skill: str = ROUTE, records: str = QA, routing: bool = True, cap: int | None = None) -> str:
     boost = 8 if method in ("kg", "hybrid", "skill_hybrid") else 0
     filt = "and list_contains(sources, source) and list_contains(relations, relation)" if method in ("skill_hybrid", "bm25_skillrouted") else ""
+    filt = filt if routing else ""
+    kept, limited = "", ""
+    if cap:
+        kept = f""" pr as (select qid, fact_idx, min(term_rank) as r from qt join post on qt.term = post.term group by 1, 2), pc as (select qid, r, count(*) as n from pr group by 1, 2),
+ pk as (select qid, r, coalesce(sum(n) over (partition by qid order by r rows between unbounded preceding and 1 preceding), 0) as before from pc), pl as (select qid, max(r) as last from pk where before < {cap} group by 1), pf as (select pr.qid as qid, pr.fact_idx as fact_idx, true as kept from pr join pl on pr.qid = pl.qid and pr.r <= pl.last),"""
+        limited = "left join pf on pf.qid = c.qid and pf.fact_idx = c.fact_idx where (alias_hit or kept)"
     cap = "8" if method == "bm25_skillrouted" else "least(8, top_k)"
-    return f"""with {QA}, {SKILL}, queries as (select qa_id as qid, {QTEXT} as qtext from qa), routed as (select qa_id as qid, {skill} as skill from qa), {POST}, {TERMS}, {LEX}, {MENTION}, {ALIAS},
+    return f"""with {records}, {SKILL}, queries as (select qa_id as qid, {QTEXT} as qtext from qa), routed as (select qa_id as qid, {skill} as skill from qa), {POST}, {TERMS}, {LEX}, {MENTION}, {ALIAS},{kept}
  hit as (select distinct qid, fact_idx, source, relation from asked join al on asked.alias = al.alias),
  c as (select coalesce(lex.qid, hit.qid) as qid, coalesce(lex.fact_idx, hit.fact_idx) as fact_idx, coalesce(lex.source, hit.source) as source, coalesce(lex.relation, hit.relation) as relation, coalesce(score, 0) as s, hit.qid is not null as alias_hit from lex full join hit on lex.qid = hit.qid and lex.fact_idx = hit.fact_idx),
- d as (select c.*, round(s + case when alias_hit then {boost} + case when source = 'primekg' then 1 else 0 end else 0 end, 4) as score from c {'where alias_hit' if method == 'kg' else ''}),
+ d as (select c.*, round(s + case when alias_hit then {boost} + case when source = 'primekg' then 1 else 0 end else 0 end, 4) as score from c {'where alias_hit' if method == 'kg' else limited}),
  e as (select d.*, top_k, row_number() over (partition by d.qid order by score desc, alias_hit desc, fact_idx) as rank from d join routed on d.qid = routed.qid join skill on skill.skill = routed.skill where score > 0 {filt})
  select qid, rank, fact_idx, cast(score as double) as score, alias_hit from e where rank <= {cap}"""
 
@@ -155,10 +167,10 @@ _DEC = "cast(fact_idx as varchar)"
 _noise = f"""select 'noise_' || lpad(cast(id as varchar), 8, '0') as id, {pick(V.SOURCES, "'0'", "cast(id as varchar)", "'src'")} as source, 'distractor' as relation,
  'The candidate ' || {pick(V.SUBJECTS, "'0'", "cast(id as varchar)", "'s'")} || ' #' || cast(1000 + {h32("'0'", "cast(id as varchar)", "'tag'")} % 8999 as varchar) || ' ' || {pick(V.PREDICATES, "'0'", "cast(id as varchar)", "'p'")} || ' ' || {pick(V.OBJECTS, "'0'", "cast(id as varchar)", "'o'")} || '.' as text
  from (select unnest(range(cast(round_even((select count(*) from facts) * {{share}}, 0) as bigint))) as id)"""
-_others = f"list_filter({array(V.SOURCES)}, lambda s: s <> coalesce(source, ''))"
-decoy = lambda per, share: f"""seeds as (select * from (select *, row_number() over (order by sha1('0|' || {_DEC})) as hr, count(*) over () as hn from facts) where hr <= round_even(hn * {share}, 0)),
+_others = "list_filter(ks.k, lambda s: s <> coalesce(source, ''))"
+decoy = lambda per, share: f"""ks as (select list(source order by source) as k from (select source from facts where source is not null group by 1 having count(*) >= 0.01 * (select count(*) from facts))), seeds as (select * from (select *, row_number() over (order by sha1('0|' || {_DEC})) as hr, count(*) over () as hn from facts) where hr <= round_even(hn * {share}, 0)),
  cp as (select fact_idx, source, coalesce(text, '') as t, unnest(range({per})) as copy from seeds),
- dc as (select fact_idx, copy, {pick(_others, "'0'", _DEC, "cast(copy as varchar)", "'src'")} as source, source as true_source, t || {pick(V.SUFFIXES, "'0'", _DEC, "cast(copy as varchar)", "'x'")} as text from cp)"""
+ dc as (select fact_idx, copy, {pick(_others, "'0'", _DEC, "cast(copy as varchar)", "'src'")} as source, source as true_source, t || {pick(V.SUFFIXES, "'0'", _DEC, "cast(copy as varchar)", "'x'")} as text from cp, ks)"""
 _order = "list_position(['fdarxbench_label', 'drugchat_pubchem', 'drugchat_chembl', 'primekg'], source)"
 _qtemplate = "case " + " ".join(f"when g_rel = {q(r)} then replace({q(t)}, '{{alias}}', alias)" for r, t in N.QUESTIONS.items()) + " else 'Regarding ' || alias || ', what does the knowledge base report for the ''' || coalesce(g_rel, 'fact') || ''' relation?' end"
 _allow = "case g_source " + " ".join(f"when {q(s)} then {array(SKILLS[k][0])}" for s, k in N.INTENDED.items()) + " end"
@@ -166,9 +178,83 @@ FILE = r"^(.+?)_(fdarxbench_v2|fdarxbench|mol_instructions_v2|mol_instructions)_
 part = lambda i: f"nullif(regexp_extract(file_name, {q(FILE)}, {i}), '')"
 _cov = "id source_path source_index question input_molecule_or_context input_type decoded_smiles gold_answer task_type drug_name split".split()
 _spaces = lambda c: f"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '\\s+'), lambda x: x <> ''))"
+_ATTACHED = f"""nm as (select distinct name from ev where length(name) >= 4 and regexp_matches(name, '[a-z0-9]{{3}}')), t as (select qa_id as qid, {norm(QTEXT)} as t from qa), held as (select qid, name from t, nm where contains(t.t, name)),
+ att as (select distinct qid, fact_idx from held join ev using (name)), kge as (select * from (select qid, fact_idx, row_number() over (partition by qid order by fact_idx) as rank from att) where rank <= 6)"""
+GRAPH = f"""{EDGE}, {WANT}, en as (select fact_idx, x as name, 0 as side from edge union all select fact_idx, y, 1 from edge), ev as (select * from (select name, row_number() over (partition by name order by fact_idx, side) as rank, fact_idx from en join want using (name)) where rank <= 6), {_ATTACHED}"""
+WITH_EVIDENCE = f"""{GRAPH}, mo as (select trim(decoded_smiles) as m from qa where trim(decoded_smiles) <> '' group by 1 having count(*) > 1),
+ qe as (select qa.*, qa_id in (select qid from kge) as graph, coalesce(trim(decoded_smiles) in (select m from mo), false) as molecule from qa)"""
 INVENTORY = f"""sh as (select source, task_type, input_type, string_agg(shape || ':' || cast(c as varchar), '|' order by c desc, shape) as answer_shapes from (select source, task_type, input_type, {shape('gold_answer')} as shape, count(*) as c from qa group by 1, 2, 3, 4) group by 1, 2, 3),
- inv as (select source, task_type, input_type, count(*) as n, round(avg(cast(coalesce(decoded_smiles <> '', false) as int)), 4) as with_smiles, round(avg({_spaces('question')}), 4) as question_words, round(avg({_spaces('gold_answer')}), 4) as answer_words from qa group by 1, 2, 3),
- ti as (select inv.*, answer_shapes from inv join sh on inv.source is not distinct from sh.source and inv.task_type is not distinct from sh.task_type and inv.input_type is not distinct from sh.input_type)"""
+ sk as (select source, task_type, input_type, string_agg(sk || ':' || cast(c as varchar), '|' order by c desc, sk) as candidate_skills from (select source, task_type, input_type, {ANALYSIS} as sk, count(*) as c from qa group by 1, 2, 3, 4) group by 1, 2, 3),
+ inv as (select source, task_type, input_type, count(*) as n, round(avg(cast(coalesce(decoded_smiles <> '', false) as int)), 4) as with_smiles, round(avg(cast(coalesce(drug_name <> '', false) as int)), 4) as with_drug, round(avg(cast(graph as int)), 4) as with_graph, round(avg(cast(molecule as int)), 4) as with_molecule,
+ round(avg({_spaces('question')}), 4) as question_words, round(avg({_spaces('gold_answer')}), 4) as answer_words from qe group by 1, 2, 3),
+ ti as (select inv.*, answer_shapes, candidate_skills from inv join sh on inv.source is not distinct from sh.source and inv.task_type is not distinct from sh.task_type and inv.input_type is not distinct from sh.input_type
+ join sk on inv.source is not distinct from sk.source and inv.task_type is not distinct from sk.task_type and inv.input_type is not distinct from sk.input_type)"""
+_dt, _dq = metric("task_type", ""), metric("question", "")
+_data_slots = {
+    "label_context": "input_type = 'FDA label context' and input_molecule_or_context <> ''", "label_context_primary": "input_type = 'FDA label context' and input_molecule_or_context <> ''", "label_context_secondary": f"{_dt} = 'multihop'",
+    "label_context_check": "source = 'fdarxbench'", "unsupported_flag": f"{_dt} = 'refusal' or coalesce(input_type, '') = 'none'", "molecule_structure": "coalesce(decoded_smiles <> '', false) or coalesce(input_type, '') in ('SELFIES', 'SMILES')",
+    "property_definition": f"contains({_dt}, 'property') or {contains(_dq, ['molecular weight', 'logp'])}", "design_requirement": f"input_molecule_or_context <> '' and contains({_dt}, 'design')",
+    "question_entities": "question <> ''", "biomedical_fact": "graph or molecule", "relation_fact": "graph", "evidence_absence_reason": "not (graph or molecule)",
+}
+_NEEDED = "case skill " + " ".join(f"when {q(k)} then {array(v)}" for k, v in R.ANALYSIS_SLOTS.items()) + f" else {array(R.NO_SLOTS)} end"
+_FILLED = "list_filter([" + ", ".join(f"case when coalesce({v}, false) then {q(k)} end" for k, v in _data_slots.items()) + "], lambda z: z is not null)"
+_CHARS = f"""length({q(chr(10).join(B.HEAD))}) + coalesce(case when input_molecule_or_context <> '' then 4 + length(input_molecule_or_context) + case when coalesce(source, '') = 'fdarxbench' then {len(B.CONTEXT_LABEL[0])} else {len(B.CONTEXT_LABEL[1])} end end, 0) + {len(chr(10) * 2 + 'Question: ' + chr(10) + 'Answer:')} + length(coalesce(question, 'None'))"""
+context = f"case when input_molecule_or_context <> '' then chr(10) || chr(10) || case when coalesce(source, '') = 'fdarxbench' then {q(B.CONTEXT_LABEL[0])} else {q(B.CONTEXT_LABEL[1])} end || ':' || chr(10) || input_molecule_or_context else '' end"
+_tail = "chr(10) || chr(10) || 'Question: ' || coalesce(question, 'None') || chr(10) || 'Answer:'"
+_answer = "trim(coalesce(gold_answer, ''))"
+_head = q(chr(10).join(B.HEAD))
+_grp = "concat_ws('|', dataset, task_type)"
+_rw = lambda c: f"list_filter({words(c, '')}, lambda x: length(x) > 2 and not ({among('x', T.RECALL_STOPWORDS)}))"
+SUPPORTED = f"""hw as (select qid, source, unnest({_rw('text')}) as t from top8 join facts using (fact_idx)), hc as (select qid, source, t, count(*) as x from hw group by 1, 2, 3),
+ gw as (select qid, unnest({_rw('gold_answer')}) as t from queries), gc as (select qid, t, count(*) as y from gw group by 1, 2), gn as (select qid, sum(y) as n from gc group by 1),
+ cm as (select gc.qid as qid, source, sum(least(x, y)) as common from gc join hc on gc.qid = hc.qid and gc.t = hc.t group by 1, 2),
+ four as (select * from (values ('primekg'), ('drugchat_pubchem'), ('drugchat_chembl'), ('fdarxbench_label')) z(source)), sg as (select qid, {_grp} as grp, four.source as source from queries, four),
+ supp as (select sg.grp as grp, sg.source as source, count(*) as n, round(avg(case when gn.n > 0 then coalesce(cast(common as double), 0.0) / gn.n else 0.0 end), 6) as mean_gold_token_recall from sg left join gn on gn.qid = sg.qid left join cm on cm.qid = sg.qid and cm.source = sg.source group by 1, 2)"""
+SUPPORT = f"{BM25}, {TOP8}, {SUPPORTED}"
+_allow_type = "case t " + " ".join(f"when {q(t)} then {array(SKILLS[k][0])}" for t, k in R.SKILL_OF_TYPE.items()) + f" else {array(R.SOURCES)} end"
+_route_sources = "case sk " + " ".join(f"when {q(k)} then {array(v[0])}" for k, v in SKILLS.items()) + " end"
+_method = lambda c: f"coalesce(nullif(regexp_extract({c}, {q('(' + S_.METHOD_NAMES + ')')}, 1), ''), regexp_replace({c}, {q(chr(92) + '.[^.]*$')}, ''))"
+_family = lambda c: f"case when {among(c, S_.SKILL_METHODS)} then 'skill' else 'uniform' end"
+_mw = lambda c, null="none": f"list_distinct({words(c, null)})"
+
+
+def planned(i: str, found: str, said: str = "") -> str:
+    """Tables of planning metrics over the found table (qid, fact_idx); names end in i, the last is ro."""
+    used = f"case when pd.qid is not null and len({_mw('pd.prediction', 'None')}) > 0 then len(list_intersect({_mw('pd.prediction', 'None')}, coalesce(w, []))) / len({_mw('pd.prediction', 'None')}) end" if said else "cast(null as double)"
+    return f"""ea{i} as (select qid, coalesce(facts.source, 'None') as source, count(*) as c from {found} join facts using (fact_idx) group by 1, 2), eg{i} as (select qid, sum(c) as n, list(source) as names from ea{i} group by 1),
+ ex{i} as (select qid, unnest({words("concat_ws(' ', nullif(title, ''), nullif(text, ''))")}) as z from {found} join facts using (fact_idx)), ew{i} as (select qid, list(distinct z) as w from ex{i} group by 1),
+ al{i} as (select qa_id as qid, source as dataset, task_type, gold_answer, {_route_sources} as allow from (select *, {ROUTE} as sk from qa)),
+ eq{i} as (select ea{i}.qid as qid, -sum(c / n * log2(c / n)) as en, sum(case when list_contains(allow, ea{i}.source) then c else 0 end) / any_value(n) as pr from ea{i} join eg{i} on ea{i}.qid = eg{i}.qid join al{i} on al{i}.qid = ea{i}.qid group by 1),
+ me{i} as (select dataset, task_type, round(pr, 6) as pr, round(1 - pr, 6) as wr, round(en + 0.0, 6) as en, case when pr is not null then round({jac('names', 'allow', '1.0')}, 6) end as ag,
+ round(case when len({_mw('gold_answer')}) > 0 then len(list_intersect({_mw('gold_answer')}, coalesce(w, []))) / len({_mw('gold_answer')}) end, 6) as re, round({used}, 6) as us
+ from al{i} p left join eq{i} on eq{i}.qid = p.qid left join eg{i} on eg{i}.qid = p.qid left join ew{i} on ew{i}.qid = p.qid {said}),
+ ro{i} as (select dataset, task_type, count(*) as n_records, round(avg(pr), 4) as source_precision, round(avg(wr), 4) as wrong_source_rate, round(avg(en), 4) as source_entropy_bits, round(avg(ag), 4) as skill_source_agreement, round(avg(re), 4) as evidence_recall_at_k, round(avg(us), 4) as evidence_utilization from me{i} group by 1, 2)"""
+
+
+def found_of(method: str, records: str, name: str) -> str:
+    """Tables of a retrieval, without the leading with, whose last one has the found facts."""
+    cte, last = retrieve(method, records=records).removeprefix("with ").rsplit(" select qid, rank", 1)
+    return f"{cte}, {name} as (select qid, rank{last})"
+
+
+_raw = "raw as (select qa_id, source, source_index, trim(coalesce({0}, '')) as instruction, trim(coalesce({1}, '')) as input, {2} as output, metadata, split, input_type, drug_name from (select *, row_number() over (partition by qa_id order by loaded_at desc) as k from qa_records where qa_id is not null) where k = 1)".format(strip("question"), strip("input_molecule_or_context"), "gold_answer")
+_kind = lambda c, src: f"case when {c} = '' then 'none' when {src} like 'drugchat%' then 'SMILES' when {c} like '[%' then 'SELFIES' when {smiles(c)} then 'SMILES' else 'text' end"
+_meta = lambda k: f"metadata[{q(k)}]"
+_fspans = lambda c: f"list_filter(list_transform(regexp_extract_all(coalesce({c}, ''), {q(T.WORDS_PLAIN)}), lambda x: {norm('x')}), lambda x: length(x) >= 4)"
+CANDIDATES = f"""cand as (select qa_id, unnest(list_distinct(list_filter(list_concat({_fspans('question')}, list_concat({_fspans('input_molecule_or_context')}, list_concat({_fspans('task_type')}, list_concat({_fspans('drug_name')}, [{norm('drug_name')}, replace(replace({norm('drug_name')}, ' hydrochloride', ''), ' hydrobromide', '')])))), lambda x: x is not null and x <> ''))) as name from qa)"""
+_item_ok = "list_filter(list_transform(string_split(coalesce(input, ''), chr(10)), lambda t: {0}), lambda t: t <> '')".format(strip("t"))
+_tok = lambda c: f"len(list_distinct({tokens(c)}))"
+BANK = f"""{QA}, {_raw}, {CANDIDATES}, {EDGE}, want as (select distinct name from cand), en as (select name, fact_idx, count(*) as n from (select fact_idx, unnest([x, y]) as name from edge) join want using (name) group by 1, 2),
+ kp as (select *, coalesce(sum(n) over (partition by name order by fact_idx rows between unbounded preceding and 1 preceding), 0) as before from en), ke as (select distinct fact_idx from kp where before < 10),
+ b0 as (select 0 as family, f.fact_idx as row_, 'primekg' as source, concat_ws('|', entities[1], relation, entities[2]) as source_id, entities[1] || ' --' || coalesce(nullif({_meta('display_relation')}, ''), relation) || '--> ' || entities[2] as title,
+ 'PrimeKG relation: ' || entities[1] || ' (' || coalesce({_meta('x_type')}, 'None') || ') --' || coalesce(nullif({_meta('display_relation')}, ''), relation) || '--> ' || entities[2] || ' (' || coalesce({_meta('y_type')}, 'None') || ').' as text, [entities[1], entities[2]] as aliases, relation from facts f join ke on ke.fact_idx = f.fact_idx),
+ b1 as (select 1 as family, qa_id as row_, source, source || ':' || source_index as source_id, coalesce(nullif(substr(instruction, 1, 180), ''), source || ' fact') as title, 'Question: ' || instruction || chr(10) || 'Input: ' || input || chr(10) || 'Answer: ' || {strip("coalesce(output, '')")} as text,
+ list_filter([case when {smiles('input')} then input end, {", ".join(f"nullif({_meta(k)}, '')" for k in B.NAMING)}], lambda x: x is not null) as aliases, 'instruction_fact' as relation from raw where source = 'mol_instructions'),
+ lr as (select qa_id, {strip("coalesce(drug_name, '')")} as drug, list_filter(list_transform(string_split(coalesce(input_molecule_or_context, ''), chr(10))[1:4], lambda t: {strip('t')}), lambda t: t <> '') as p from (select *, row_number() over (partition by qa_id order by loaded_at desc) as k from qa_records where qa_id is not null) where k = 1 and input_type = 'FDA label context'),
+ b2 as (select 2 as family, qa_id as row_, 'fdarxbench_label' as source, cast(qa_id as varchar) as source_id, 'FDA label evidence for ' || drug as title, array_to_string(p, chr(10) || chr(10)) as text, case when drug <> '' then [drug] else [] end as aliases, 'label_context' as relation from lr where len(p) > 0),
+ bank as (select row_number() over (order by family, row_) - 1 as fact_idx, {stable(20, 'source', 'title', 'text')} as id, source, source_id, title, text, relation, aliases from (select * from b0 union all select * from b1 union all select * from b2))"""
+
+
 _slots = {
     "label_context": "input_type = 'FDA label context' and input_molecule_or_context <> ''", "label_context_primary": "input_type = 'FDA label context' and input_molecule_or_context <> ''", "label_context_secondary": f"{_t} = 'multihop'",
     "molecule_structure": "decoded_smiles <> '' or input_type in ('SELFIES', 'SMILES')", "property_definition": f"contains({_t}, 'property') or contains({_q}, 'property')",
@@ -180,7 +266,19 @@ _filled = {
     "label_context_secondary": "coalesce(label, false) and coalesce(n, 0) >= 2", "molecule_structure": _slots["molecule_structure"], "property_definition": _slots["property_definition"],
     "design_requirement": _slots["design_requirement"], "question_entities": _slots["question_entities"], "biomedical_fact": "coalesce(fact, false)",
 }
+COLLISIONS = f"""with nm as (select distinct fact_idx, source, relation, text, {norm('e')} as alias from (select fact_idx, source, relation, text, unnest(list_concat(coalesce(aliases, []), coalesce(entities, []))) as e from facts where source is not null) where trim(e) <> ''),
+ ok as (select * from nm where length(alias) >= 3 and not regexp_full_match(alias, '[0-9]+')), sp as (select alias from ok group by 1 having count(distinct source) >= 2), held as (select ok.* from ok join sp using (alias)),
+ gd as (select * from (select alias, fact_idx as g_idx, source as g_source, relation as g_rel, text as g_text, row_number() over (partition by alias order by {_order}, fact_idx) as r from held where {_order} > 0) where r = 1),
+ pr as (select held.alias as alias, g_idx, g_source, g_rel, fact_idx, source, relation, round({jac("list_distinct(" + tokens("coalesce(g_text, '')") + ")", "list_distinct(" + tokens("coalesce(text, '')") + ")", '0.0')}, 6) as similarity, relation is distinct from g_rel as distinct_relation from held join gd using (alias) where source <> g_source and not list_contains({_allow}, source))
+ select alias, g_idx as gold_idx, g_source as gold_source, fact_idx as decoy_idx, source as decoy_source, similarity, distinct_relation, {_qtemplate} as question from (select *, row_number() over (partition by alias order by distinct_relation desc, similarity desc, fact_idx) as r from pr where similarity >= 0.05) where r = 1"""
+_right = "trim(coalesce(" + ", ".join(f"nullif(g.metadata[{q(x)}], '')" for x in B.ANSWERING) + ", g.text, ''))"
+PROBES = f"""with pb as ({COLLISIONS}), pn as (select *, row_number() over (order by alias) - 1 as i from pb), pj as (select pn.*, 'necessity_' || lpad(cast(i as varchar), 5, '0') as id, {_right} as gold_answer, g.relation as gold_relation, dd.relation as decoy_relation from pn join facts g on g.fact_idx = gold_idx join facts dd on dd.fact_idx = decoy_idx)"""
+ROLLED = " union all ".join(f"select * from (with {found_of(m, ITEM_RECORDS, 'fd')}, {planned('p', 'fd')} select *, {q(m)} as method from rop)" for m in ("bm25", "hybrid", "bm25_skillrouted"))
 SQL = {
+    "family_rollup": f"""with ro as ({ROLLED}) select {_family('method')} as method_family, cast(sum(n_records) as bigint) as n, """ + ", ".join(f"round(sum({c} * n_records) / sum(case when {c} is not null then n_records end), 4) as {c}" for c in ("source_precision", "wrong_source_rate", "skill_source_agreement", "evidence_recall_at_k")) + " from ro group by 1",
+    "probe_records": f"{PROBES} select id, 'necessity_probe' as source, i as source_index, question, '' as input_molecule_or_context, 'none' as input_type, gold_answer, 'necessity_probe' as task_type, alias as drug_name, {_head} || {_tail} as prompt from pj",
+    "probe_provenance": f"{PROBES} select id, alias as collision_alias, gold_source, decoy_source, gold_idx, decoy_idx, gold_relation, decoy_relation, similarity, distinct_relation, false as validated from pj",
+    "probe_counts": f"with pb as ({COLLISIONS}) select gold_source, decoy_source, count(*) as n, count(*) filter (where distinct_relation) as n_distinct from pb group by 1, 2",
     "slot_fill_status": retrieve("bm25_skillrouted").rsplit(" select qid, rank", 1)[0] + """, ev as (select qid, count(*) as n, bool_or(coalesce(facts.source = 'fdarxbench_label', false) or coalesce(facts.relation = 'label_context', false)) as label,
  bool_or(coalesce(facts.source in ('primekg', 'drugchat_pubchem', 'drugchat_chembl'), false)) as fact from e join facts using (fact_idx) where rank <= 3 group by 1),
  x as (select qa_id, skill.skill as skill, required_slots, list_filter([""" + ", ".join(f"case when coalesce({v}, false) then {q(k)} end" for k, v in _filled.items()) + """], lambda z: z is not null) as ok from qa join routed on routed.qid = qa.qa_id join skill on skill.skill = routed.skill left join ev on ev.qid = qa.qa_id)
@@ -206,7 +304,60 @@ SQL = {
     "router_confusion": f"with {QA}, r as (select {ROUTE} as gold, {PREDICTED} as predicted from qa) select gold, " + ", ".join(f"count(*) filter (where predicted = {q(s)}) as {s}" for s in SKILLS) + " from r group by 1",
     "router_accuracy": f"with {QA}, r as (select {ROUTE} as gold, {PREDICTED} as predicted from qa) select gold, count(*) as n, count(*) filter (where gold = predicted) as n_correct, round(avg(cast(gold = predicted as int)), 6) as accuracy from r group by 1",
     "skill_pools": f"with {SKILL} select skill, count(*) as n_facts, count(distinct source || '|' || relation) as n_pairs from facts join skill on list_contains(sources, source) and list_contains(relations, relation) group by 1",
-    "slot_availability": f"with {QA}, {SKILL}, r as (select *, {ROUTE} as sk from qa), x as (select sk as skill, unnest(required_slots) as slot, r.* from r join skill on skill.skill = r.sk) select skill, slot, count(*) as n, count(*) filter (where coalesce(case slot " + " ".join(f"when {q(k)} then {v}" for k, v in _slots.items()) + " end, false)) as filled from x group by 1, 2",
+    "slot_availability": f"""with {QA}, {WITH_EVIDENCE}, z as (select *, {ANALYSIS} as skill from qe), x as (select skill, {_FILLED} as ok, unnest({_NEEDED}) as slot from z) select skill, slot, count(*) as n, count(*) filter (where list_contains(ok, slot)) as filled from x group by 1, 2""",
+    "skill_analysis": f"""with {QA}, {WITH_EVIDENCE}, z as (select qa_id, source as dataset, task_type, {ANALYSIS} as skill, {_FILLED} as ok, {_CHARS} as chars from qe), y as (select *, list_has_all(ok, {_NEEDED}) as complete from z),
+ g as (select dataset, skill, task_type, count(*) as n, round(avg(chars), 2) as avg_prompt_chars, max(chars) as max_prompt_chars, round(avg(cast(complete as int)), 6) as all_required_slots_coverage from y group by 1, 2, 3),
+ e as (select dataset, skill, task_type, facts.source as es, count(*) as k from kge join facts using (fact_idx) join y on y.qa_id = kge.qid group by 1, 2, 3, 4)
+ select g.dataset as dataset, g.skill as skill, g.task_type as task_type, n, avg_prompt_chars, max_prompt_chars, all_required_slots_coverage, coalesce(es, 'none') as evidence_source, coalesce(k, 0) as retrieved_facts, round(coalesce(k, 0) / n, 6) as facts_per_example
+ from g left join e on g.dataset is not distinct from e.dataset and g.skill = e.skill and g.task_type is not distinct from e.task_type""",
+    "items_routed": retrieve("bm25_skillrouted", records=ITEM_RECORDS),
+    "items_unrouted": retrieve("bm25_skillrouted", records=ITEM_RECORDS, routing=False),
+    "items_capped": retrieve("hybrid", records=ITEM_RECORDS, cap=200),
+    "run_counters": f"""with {found_of('hybrid', ITEM_RECORDS, 'fd')}, k as (select qid, count(*) as k, count(*) filter (where alias_hit) as h from fd group by 1)
+ select routed.skill as skill, count(*) as records, count(*) filter (where k > 0) as with_evidence, cast(coalesce(sum(k), 0) as bigint) as facts, cast(coalesce(sum(h), 0) as bigint) as alias_hits from routed left join k on k.qid = routed.qid group by 1""",
+    "baseline_prompts": f"""with {ITEM_RECORDS}, queries as (select qa_id as qid, {QTEXT} as qtext from qa), {POST}, {TERMS}, {LEX}, {TOP8}, {block('top8', 3500)}
+ select qa_id, {_head} || {context} || chr(10) || chr(10) || {q(B.EVIDENCE_HEAD)} || chr(10) || coalesce(block, {q(B.NO_EVIDENCE)}) || {_tail} as prompt, {_answer} as answer from qa left join bl on bl.qid = qa.qa_id""",
+    "augmented_records": f"""with {found_of('skill_hybrid', ITEM_RECORDS, 'fd')}, k as (select qid, count(*) as n, min(fact_idx) filter (where rank = 1) as f from fd group by 1), ks as (select qid, string_agg(src, ',' order by src) as s from (select distinct qid, coalesce(facts.source, 'unknown') as src from fd join facts using (fact_idx)) group by 1)
+ select routed.qid as qa_id, routed.skill as skill, coalesce(n, 0) as n_evidence, f as first_fact, coalesce(s, '') as evidence_sources from routed left join k on k.qid = routed.qid left join ks on ks.qid = routed.qid""",
+    "evidence_counts": f"""with {BM25}, {TOP8}, {QA}, {GRAPH}, r as (select qa_id, trim(decoded_smiles) as m from qa where trim(decoded_smiles) <> ''), mp as (select * from (select a.qa_id as qa_id, b.qa_id as other, row_number() over (partition by a.qa_id order by b.qa_id) as rank from r a join r b on a.m = b.m and a.qa_id <> b.qa_id) where rank <= 3),
+ al as (select 'kb' as kind, coalesce(source, 'unknown') as source, coalesce(relation, 'unknown') as relation from top8 join facts using (fact_idx) union all select 'kg', 'corrected_primekg', null from kge union all select 'molecule', coalesce(qa.source, 'corrected_molecule'), null from mp join qa on qa.qa_id = mp.other) select kind, source, relation, count(*) as n from al group by 1, 2, 3""",
+    "rrf_dense": f"""with {VEC}, {dense(50)}, queries as (select qid, coalesce(text, '') as qtext from qv join facts on facts.fact_idx = qv.qid), {POST}, {TERMS}, {LEX}, l1 as (select qid, fact_idx, row_number() over (partition by qid order by score desc, fact_idx desc) as r from lex where score > 0),
+ la as (select qid, fact_idx, row_number() over (partition by qid order by r) as r2 from l1 where r <= 51 and qid <> fact_idx), lb as (select * from la where r2 <= 50), db as (select qid, fact_idx, rank as r1 from dn), fu as (select qid, fact_idx, r1, r2, round(coalesce(1.0 / (60.0 + r1), 0.0) + coalesce(1.0 / (60.0 + r2), 0.0), 9) as score from db full join lb using (qid, fact_idx))
+ select * from (select qid, row_number() over (partition by qid order by score desc, r1 nulls last, r2 nulls last) as rank, fact_idx, score from fu) where rank <= 8""",
+    "alias_lists": f"""with a as (select distinct {norm('a')} as alias, fid from (select unnest(aliases) as a, {stable(20, 'source', 'title', 'text')} as fid from facts) where {norm('a')} <> ''), p as (select alias, ceil(count(*) / 1000) as parts from a group by 1)
+ select a.alias as alias, cast(floor(cast('0x' || substr(fid, 1, 4) as bigint) * parts / 65536) as bigint) as part, string_agg(fid, ',' order by fid) as fact_ids from a join p on p.alias = a.alias group by 1, 2""",
+    "base_prompts": f"with {QA} select qa_id, {_head} || {context} || {_tail} as prompt, {_answer} as answer from qa",
+    "built_records": f"""with {_raw} select qa_id, {stable(20, 'source', 'source_index', 'instruction', 'input', 'output')} as id, source, source_index, instruction as question, input as input_molecule_or_context, {_kind('input', 'source')} as input_type, output as gold_answer,
+ coalesce(nullif({_meta('task')}, ''), case source {" ".join(f"when {q(k)} then {q(v)}" for k, v in B.TASKS.items())} end, source) as task_type from raw""",
+    "built_pool": f"""with {_raw}, o as (select qa_id, source, try_cast(source_index as bigint) as pos, source_index, coalesce({_meta('split')}, split, 'train') = 'test' as t from raw)
+ select qa_id, source, 'train' as pool from (select *, row_number() over (partition by source order by pos nulls last, source_index, qa_id) as r from o where not t) where r <= 200 union all select qa_id, source, 'test' from o where t""",
+    "candidate_mentions": f"with {QA}, {CANDIDATES} select name, count(*) as n from cand group by 1",
+    "label_contexts": f"""with {_raw} select qa_id, array_to_string({_item_ok}, chr(10) || chr(10)) as passages, len(list_filter(list_transform(string_split(coalesce(input_molecule_or_context, ''), chr(10))[1:4], lambda t: {strip('t')}), lambda t: t <> '')) as n_used
+ from (select *, input_molecule_or_context as input from (select *, row_number() over (partition by qa_id order by loaded_at desc) as k from qa_records where qa_id is not null) where k = 1) where input_type = 'FDA label context'""",
+    "built_bank": f"with {BANK} select fact_idx, id, source, source_id, title, text, relation, len(aliases) as n_aliases, {_tok('concat_ws(' + chr(39) + ' ' + chr(39) + ', nullif(title, ' + chr(39) * 2 + '), nullif(text, ' + chr(39) * 2 + '), nullif(array_to_string(aliases, ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) * 2 + '))')} as n_tokens from bank",
+    "source_support": f"with {SUPPORT} select * from supp",
+    "best_sources": f"with {SUPPORT} select grp, source as best_source, mean_gold_token_recall as recall, n from (select *, row_number() over (partition by grp order by mean_gold_token_recall desc, list_position({array(R.SOURCES)}, source)) as r from supp) where r = 1",
+    "source_shares": f"with {MIX('source')}, v as (select grp, source, avg_facts * examples_with_evidence as v from mix where {among('source', R.SOURCES)}) select grp, source, round(case when sum(v) over (partition by grp) > 0 then v / sum(v) over (partition by grp) else 0.0 end, 6) as share from v",
+    "utility_matrix": f"""with {SCORE}, s as (select dataset, question_type, method_name, model_name, avg(utility) as u from scores group by 1, 2, 3, 4), m as (select dataset, question_type, method_name, round(avg(u), 6) as utility from s group by 1, 2, 3)
+ select dataset, question_type, method_name, utility, round(utility - avg(utility) over (partition by dataset, question_type), 5) as centred, row_number() over (partition by dataset, question_type order by utility desc, method_name) = 1 as is_best from m""",
+    "policy_gains": f"""with {SCORE}, m as (select model_name, question_type, method_name, avg(token_f1) as f from scores group by 1, 2, 3), x as (select m.model_name as model_name, m.question_type as question_type, m.method_name as method_name, round(m.f - b.f, 6) as f1_delta from m join m b on b.method_name = 'bm25' and m.method_name <> 'bm25' and m.model_name = b.model_name and m.question_type = b.question_type)
+ select * from (select model_name, 'top' as "end", row_number() over (partition by model_name order by f1_delta desc, question_type, method_name) as place, question_type, method_name, f1_delta from x) where place <= 3 union all select * from (select model_name, 'bottom', row_number() over (partition by model_name order by f1_delta, question_type, method_name) as place, question_type, method_name, f1_delta from x) where place <= 3""",
+    "closed_and_retrieved": f"with {SCORE} select case when method_name = 'none' then 'closed_book' else 'retrieval' end as origin, model_name, method_name, count(*) as n, round(avg(token_f1), 6) as token_f1 from scores where method_name in ('none', 'bm25', 'hybrid', 'kg') group by 1, 2, 3",
+    "file_methods": f"select file_name, {_method('file_name')} as method, {_family(_method('file_name'))} as family from (select distinct concat_ws('_', model_name, dataset, method_name, 'test.jsonl') as file_name from predictions)",
+    "zipped_deltas": f"""with {SCORE}, x as (select *, row_number() over (partition by model_name, dataset, method_name order by pred_id) as r from scores where method_name in ('none', 'hybrid') and model_name is not null and dataset is not null)
+ select a.model_name as model_name, a.dataset as dataset, a.question_type as question_type, count(*) as n, round(avg(a.token_f1), 6) as base_f1, round(avg(b.token_f1), 6) as kb_f1, round(avg(b.token_f1) - avg(a.token_f1), 6) as delta
+ from x a join x b on a.method_name = 'none' and b.method_name = 'hybrid' and a.model_name = b.model_name and a.dataset = b.dataset and a.r = b.r group by 1, 2, 3""",
+    "collected_results": f"""with {SCORE}, s as (select model_name as model, dataset, method_name as method, count(*) as n, round(avg(token_f1), 6) as f, round(avg(cast(numeric_match as int)), 6) as x from scores where model_name is not null and dataset is not null and method_name is not null group by 1, 2, 3)
+ select model, dataset, method, dataset as subtask, 'raw' as variant, n, round(coalesce(x, f), 6) as headline, case when method in ('rrf', 'bm25') then 'summary' else 'file' end as came_from from s where method in ('rrf', 'bm25') or regexp_matches(concat_ws('_', model, dataset, method, 'raw_test_eval.json'), {q(FILE)})""",
+    "cluster_texts": f"""with {QA} select qa_id, concat_ws(' ', 'source=' || coalesce(source, ''), 'task=' || coalesce(task_type, ''), 'input_type=' || coalesce(input_type, ''), 'answer_shape=' || {shape('gold_answer')}, {", ".join(f"case when coalesce({v.replace('graph or molecule', 'false').replace('graph', 'false')}, false) then 'has_{k}' end" for k, v in _data_slots.items())}, question, task_type, input_type, substr(input_molecule_or_context, 1, 500)) as text from qa""",
+    "routing_clusters": f"""with {QA}, r as (select {LEGACY} as cluster, {ANALYSIS} as skill from qa), c as (select cluster, skill, count(*) as n from r group by 1, 2), d as (select *, row_number() over (partition by cluster order by n desc, skill) as k from c)
+ select cluster, cast(sum(n) as bigint) as n, max(case when k = 1 then skill end) as top_skill, round(max(n) / sum(n), 6) as purity, string_agg(skill || ':' || cast(n as varchar), '|' order by n desc, skill) as skill_counts from d group by 1""",
+    "routing_agreement": f"""with {QA}, r as (select {LEGACY} as cluster, {ANALYSIS} as skill from qa), c as (select cluster, skill, count(*) as n from r group by 1, 2), a as (select cluster, sum(n) as a, max(n) as m from c group by 1), b as (select skill, sum(n) as b from c group by 1),
+ t as (select cast(sum(a) as double) as t, cast(sum(m) as double) as m, cast(sum(a * (a - 1) / 2) as double) as sa, sum(a * ln(a)) as la from a), u as (select cast(sum(b * (b - 1) / 2) as double) as sb, sum(b * ln(b)) as lb from b), v as (select cast(sum(n * (n - 1) / 2) as double) as sn, sum(n * ln(n)) as ln_ from c)
+ select cast(t as bigint) as n, round(m / t, 6) as purity, round(2 * (ln(t) + (ln_ - la - lb) / t) / ((ln(t) - la / t) + (ln(t) - lb / t)), 6) as nmi, round((sn - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) as ari from t, u, v""",
+    "item_inventory": f"with i as (select *, {qtype('dataset', 'task_type')} as question_type from eval_items), m as (select dataset, question_type, count(*) as n, min(item_id) as first_item from i group by 1, 2) select m.dataset as dataset, m.question_type as question_type, n, first_item, i.task_type as task_type from m join i on i.item_id = first_item",
+    "source_holdout": f"with {QA}, hold as (select qa_id, source as identity, case when source = 'fdarxbench' then 'test' else 'train' end as split from qa), {SUMMARY}",
+    "bank_summary": "select '{" + '"total":' + "' || cast(count(*) as varchar) || '" + "".join(f',"{x}":' + f"' || cast(count(*) filter (where source = '{x}') as varchar) || '" for x in B.FAMILIES) + "}' as summary from facts",
     "bm25_topk": f"with {BM25}, {TOP8} select qid, rank, fact_idx, cast(score as double) as score from top8",
     "bm25_lexical_rank": f"with {BM25} select qid, rank, fact_idx from (select qid, fact_idx, row_number() over (partition by qid order by score desc, fact_idx desc) as rank from lex where score > 0) where rank <= 50",
     "candidate_cap": f"""with {BM25}, pr as (select qid, fact_idx, min(term_rank) as r from qt join post on qt.term = post.term group by 1, 2), pk as (select qid, r, coalesce(sum(count(*)) over (partition by qid order by r rows between unbounded preceding and 1 preceding), 0) as before from pr group by 1, 2)
@@ -233,14 +384,10 @@ SQL = {
  select * from edge where fact_idx in (select fact_idx from kp where before < 10)""",
     "kg_evidence": f"with {QA}, {EDGE}, {WANT}, en as (select fact_idx, x as name, 0 as side from edge union all select fact_idx, y, 1 from edge) select * from (select name, row_number() over (partition by name order by fact_idx, side) as rank, fact_idx from en join want using (name)) where rank <= 6",
     "kg_evidence_attached": f"""with {QA}, {EDGE}, {WANT}, en as (select fact_idx, x as name, 0 as side from edge union all select fact_idx, y, 1 from edge), ev as (select * from (select name, row_number() over (partition by name order by fact_idx, side) as rank, fact_idx from en join want using (name)) where rank <= 6),
- nm as (select distinct name from ev where length(name) >= 4), t as (select qa_id as qid, {norm(QTEXT)} as t from qa), tw as (select distinct qid, unnest(regexp_extract_all(t, '[a-z0-9]+')) as w from t), nw as (select name, regexp_extract(name, '[a-z0-9]+') as w from nm),
- held as (select distinct tw.qid as qid, name from tw join nw on tw.w = nw.w and nw.w <> '' join t on t.qid = tw.qid where contains(t.t, name)), att as (select distinct qid, fact_idx from held join ev using (name)) select * from (select qid, fact_idx, row_number() over (partition by qid order by fact_idx) as rank from att) where rank <= 6""",
+ nm as (select distinct name from ev where length(name) >= 4 and regexp_matches(name, '[a-z0-9]{{3}}')), t as (select qa_id as qid, {norm(QTEXT)} as t from qa),
+ held as (select qid, name from t, nm where contains(t.t, name)), att as (select distinct qid, fact_idx from held join ev using (name)) select * from (select qid, fact_idx, row_number() over (partition by qid order by fact_idx) as rank from att) where rank <= 6""",
     "molecule_evidence": f"with {QA}, r as (select qa_id, trim(decoded_smiles) as m from qa where trim(decoded_smiles) <> '') select * from (select a.qa_id as qa_id, row_number() over (partition by a.qa_id order by b.qa_id) as rank, b.qa_id as other from r a join r b on a.m = b.m and a.qa_id <> b.qa_id) where rank <= 3",
-    "collision_probe": f"""with nm as (select distinct fact_idx, source, relation, text, {norm('e')} as alias from (select fact_idx, source, relation, text, unnest(list_concat(coalesce(aliases, []), coalesce(entities, []))) as e from facts where source is not null) where trim(e) <> ''),
- ok as (select * from nm where length(alias) >= 3 and not regexp_full_match(alias, '[0-9]+')), sp as (select alias from ok group by 1 having count(distinct source) >= 2), held as (select ok.* from ok join sp using (alias)),
- gd as (select * from (select alias, fact_idx as g_idx, source as g_source, relation as g_rel, text as g_text, row_number() over (partition by alias order by {_order}, fact_idx) as r from held where {_order} > 0) where r = 1),
- pr as (select held.alias as alias, g_idx, g_source, g_rel, fact_idx, source, relation, round({jac("list_distinct(" + tokens("coalesce(g_text, '')") + ")", "list_distinct(" + tokens("coalesce(text, '')") + ")", '0.0')}, 6) as similarity, relation is distinct from g_rel as distinct_relation from held join gd using (alias) where source <> g_source and not list_contains({_allow}, source))
- select alias, g_idx as gold_idx, g_source as gold_source, fact_idx as decoy_idx, source as decoy_source, similarity, distinct_relation, {_qtemplate} as question from (select *, row_number() over (partition by alias order by distinct_relation desc, similarity desc, fact_idx) as r from pr where similarity >= 0.05) where r = 1""",
+    "collision_probe": COLLISIONS,
     "record_scores": f"with {SCORE} select pred_id, exact, normalized_exact, round(token_f1, 6) as token_f1, numeric_match, round(utility, 6) as utility from scores",
     "eval_summary": f"with {SCORE} select dataset, method_name, count(*) as n, round(avg(cast(exact as int)), 6) as exact, round(avg(cast(normalized_exact as int)), 6) as normalized_exact, count(numeric_match) as numeric_n, round(avg(cast(numeric_match as int)), 6) as numeric_accuracy, round(avg(token_f1), 6) as avg_token_f1 from scores group by 1, 2",
     "grouping_sets_report": f"with {SCORE}, x as (select model_name, method_name, coalesce(task_type, 'unknown') as task_type, token_f1, cast(exact as int) as e from scores) select model_name, method_name, case when grouping(task_type) = 1 then 'overall' else task_type end as task_type, count(*) as n, round(avg(token_f1), 6) as token_f1, round(avg(e), 6) as exact from x group by grouping sets ((model_name, method_name, task_type), (model_name, method_name))",
@@ -262,15 +409,15 @@ SQL = {
     "multiset_intersection": f"with {PRED}, bag as (select pred_id, {words('prediction')} as a, {words('reference_output')} as b from pred), {BAGS} select pred_id, n_a, n_b, common from sz",
     "source_mix": f"with {MIX('source')} select * from mix",
     "relation_mix": f"with {MIX('relation')} select * from mix",
-    "heterogeneity": f"with {MIX('source')}, {DIST}, h as (select grp, arg_max(source, share - pos * 1e-12) as dominant_source, max(share) as d, -sum(case when share > 0 then share * log2(share) else 0.0 end) as h from dist group by 1) select grp, dominant_source, round(d, 4) as dominant_share, round(h + 0.0, 4) as entropy_bits, round(h / 2.0 + 0.0, 4) as normalized_entropy, round(pow(2.0, h), 4) as effective_sources from h",
+    "heterogeneity": f"""with {MIX('source')}, {DIST}, {SUPPORTED}, gt as (select grp, {_allow_type} as allow from (select {_grp} as grp, min({qtype('dataset', 'task_type')}) as t from queries group by 1)),
+ h as (select dist.grp as grp, arg_max(dist.source, share - pos * 1e-12) as dominant_source, max(share) as d, -sum(case when share > 0 then share * log2(share) else 0.0 end) as h, sum(case when list_contains(allow, dist.source) then share else 0.0 end) as os,
+ sum(case when list_contains(allow, dist.source) then coalesce(mean_gold_token_recall, 0.0) else 0.0 end) as sr, sum(coalesce(mean_gold_token_recall, 0.0)) as tr from dist join gt on gt.grp = dist.grp left join supp on supp.grp = dist.grp and supp.source = dist.source group by 1)
+ select grp, dominant_source, round(d, 4) as dominant_share, round(h + 0.0, 4) as entropy_bits, round(h / 2.0 + 0.0, 4) as normalized_entropy, round(pow(2.0, h), 4) as effective_sources, round(os, 4) as oracle_source_share, round(case when tr > 0 then sr / tr else 0.0 end, 4) as oracle_support_share from h""",
     "js_divergence": f"""with {MIX('source')}, {DIST}, pr as (select a.grp as grp_a, b.grp as grp_b, sum(case when a.share > 0 then a.share * log2(a.share / ((a.share + b.share) / 2)) else 0.0 end) / 2 + sum(case when b.share > 0 then b.share * log2(b.share / ((a.share + b.share) / 2)) else 0.0 end) / 2 as js from dist a join dist b on a.source = b.source and a.grp < b.grp group by 1, 2)
  select grp_a, grp_b, round(js, 4) as js_divergence from pr union all select 'ALL', 'MEAN', round(avg(js), 4) from pr""",
-    "planning_metrics": retrieve("hybrid").replace(" select qid, rank, fact_idx, cast(score as double) as score, alias_hit from e where rank <= least(8, top_k)", f""", fd as (select qid, fact_idx from e where rank <= least(8, top_k)), es as (select qid, coalesce(facts.source, 'None') as source, count(*) as c from fd join facts using (fact_idx) group by 1, 2),
- eg as (select qid, sum(c) as n, list(source) as names from es group by 1), en as (select qid, -sum(c / n * log2(c / n)) as en, sum(case when list_contains(sources, es.source) then c else 0 end) / any_value(n) as pr from es join eg using (qid) join routed using (qid) join skill on skill.skill = routed.skill group by 1),
- me as (select routed.skill as skill, round(pr, 6) as pr, round(1 - pr, 6) as wr, round(en + 0.0, 6) as en, round({jac('names', 'sources', '1.0')}, 6) as ag from routed join skill on skill.skill = routed.skill left join en on en.qid = routed.qid left join eg on eg.qid = routed.qid)
- select skill, count(*) as n_records, round(avg(pr), 4) as source_precision, round(avg(wr), 4) as wrong_source_rate, round(avg(en), 4) as source_entropy_bits, round(avg(case when pr is not null then ag end), 4) as skill_source_agreement from me group by 1"""),
-    "field_coverage": " union all ".join(f"select source, count(*) over_n, {q(c)} as field, count(*) filter (where {c} <> '') as present from qa_records group by 1".replace("count(*) over_n", "count(*) as n") for c in _cov) + " union all select source, count(*), 'qa_id', count(qa_id) from qa_records group by 1 union all select source, count(*), 'metadata', count(*) filter (where cardinality(metadata) > 0) from qa_records group by 1",
-    "task_inventory": f"with {QA}, {INVENTORY} select * from ti",
+    "planning_metrics": f"""with {found_of('kg', QA, 'fd')}, {PRED}, pd as (select qa_id as qid, prediction from (select *, row_number() over (partition by qa_id order by pred_id desc) as k from pred where method_name = 'kg' and qa_id is not null) where k = 1), {planned('p', 'fd', 'left join pd on pd.qid = p.qid')} select *, 'kg' as method, 'uniform' as method_family from rop""",
+    "field_coverage": " union all ".join(f"select source, count(*) over_n, {q(c)} as field, count(*) filter (where {c} <> '') as present from qa_records group by 1".replace("count(*) over_n", "count(*) as n") for c in _cov) + " union all select source, count(*), 'qa_id', count(qa_id) from qa_records group by 1 union all select source, count(*), 'created_at', count(created_at) from qa_records group by 1 union all select source, count(*), 'loaded_at', count(loaded_at) from qa_records group by 1 union all select source, count(*), 'metadata', count(*) filter (where cardinality(metadata) > 0) from qa_records group by 1",
+    "task_inventory": f"with {QA}, {WITH_EVIDENCE}, {INVENTORY} select * from ti",
     "answer_shape_counts": f"with {QA} select {shape('gold_answer')} as shape, count(*) as n from qa group by 1",
     "arrivals": f"with {_KEYED} select date_trunc('day', loaded_at) as start, source, relation, count(*) as n from k where loaded_at is not null group by 1, 2, 3",
     "noise_injected": _noise.format(share=0.5),

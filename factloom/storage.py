@@ -49,6 +49,16 @@ def cut(df: DataFrame) -> DataFrame:
     return back
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared folder for files that a query writes and reads; deleted at the end of the JVM."""
+    path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
