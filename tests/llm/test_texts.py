@@ -116,6 +116,12 @@ def test_votes():
     assert votes(None, "x", None, end, lang) and top(None, "The level of the inner valve is low in the first hour.") == set()
 
 
+def test_languages_of_all_texts_at_once():
+    lang = Languages(SENTENCES + ["Der Druck ist in der ersten Stunde nicht hoch und wird dann von der Pumpe gehalten."] * 40)
+    texts = ["", "ab", *SENTENCES[:5], "Der Druck ist nicht hoch in der Pumpe", "x" * 5000, "Die Pumpe wird gehalten"]
+    assert lang.of_all(texts) == [lang.of(t) for t in texts] and lang.of_all([]) == [] and lang.of_all(["", ""]) == [None, None]
+
+
 def test_defects_of_a_table(spark):
     q = "What is the pressure of the upper valve?"
     rows = [(i, q, "t", s, s, f"2024-01-{1 + i % 9:02d}", "v") for i, s in enumerate(SENTENCES)]
