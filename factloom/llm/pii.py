@@ -67,17 +67,23 @@ SENTENCE_WORDS = frozenset("neither nor while because since although however als
 _CAP = r"(?:[A-ZÀ-Þ](?:[^\W\d_]|['’])+(?:-[A-ZÀ-Þ](?:[^\W\d_]|['’])+)*(?![\w(\[#=@]))"
 _PARTICLES = "de la|de las|de los|del|de|da|das|dos|do|di|della|du|des|le|la|van der|van den|van de|van|von der|von|zu|zur|ter|ten|bin|ibn|al|el|y|e"
 RUN = re.compile(rf"(?<![\w@.#/-])(?:{_CAP}|[A-ZÀ-Þ]\.)(?:(?:,[ \xa0]|[ \xa0](?:(?:{_PARTICLES})[ \xa0])?)(?:{_CAP}|[A-ZÀ-Þ]\.))*")
+TOKEN = re.compile(rf"{_CAP}|[A-ZÀ-Þ]\.")
 _TITLES = frozenset("mr mrs ms miss dr prof herr herrn frau mme mlle monsieur madame señor señora sr sra don doña nurse sister schwester pfleger patient patiente patientin paciente doctor docteur doctora professor sir lady".split())
 
 
 _INSIDE = re.compile(r"(?:^|[^\w-])[^\W\d_A-ZÀ-Þ][^\W\d_]*[ \xa0]$")
 _CUE_WORDS = frozenset(w.casefold() for p in (PHONE_BEFORE, ID_BEFORE, NOT_PERSON_BEFORE, ADDRESS_BEFORE, NAME_BEFORE) for w in re.findall(r"[^\W\d_]{3,}", p.pattern))
 # Ends of the text before a name that are worth the patterns above.
-_STOPS = " :=|.,\"'(<#-\t\xa0"
-_TITLE_ENDS = tuple(sorted(_TITLES | {"m"}))
-_CUE_ENDS = tuple("signed signé signature gezeichnet firmado name nom nombre contact_person contact witness by to with wishes grüße saludos cordialement regards duty sincerely reporter author".split())
-_STUDY_ENDS = tuple("study trial model lot batch code the cohort estudio studie étude project system".split())
+_STOPS = " :=|.,\"'(<#-\t\xa0\n"
+_TITLE_ENDS = _TITLES | {"m"}
+_CUE_ENDS = frozenset("signed signé signature gezeichnet firmado name nom nombre contact_person contact witness by to with wishes grüße saludos cordialement regards duty sincerely reporter author".split())
+_STUDY_ENDS = frozenset("study trial model lot batch code the cohort estudio studie étude project system".split())
+_BEFORE = _TITLE_ENDS | _CUE_ENDS | _STUDY_ENDS
 _EMAIL_LIKE = r"(?<![^\s@＠\[({])[^\s@＠\[({]++\s?(?:[@＠]|[\[({](?:at|@)[\])}])\s?\S+|(?<!\S)\S++\sat\s\S++\sdot\s\S+"
+# A phone or identity number has six figures at least with few signs between them, an address a figure.
+_DIGITS = re.compile(r"\d(?:[^\w\n]{0,3}[A-Z]?\d){5}")
+_FIGURE = re.compile(r"\d")
+_POSTCODE = re.compile(r"\d{5}\s")
 _AT_SIGN = re.compile(r"[＠]|[\[({]@?at[\])}]|\w\s?@\s?\w|\sdot\s", re.I)
 
 
@@ -96,18 +102,31 @@ def _features(kind: str, value: str, w1: list[str], w2: list[str], extra: tuple,
     return [_hash(kind, i, *x) for i, x in enumerate([(l[1],), (l[0], l[1]), (r[0],), (r[0], r[1]), (l[1], r[0]), (shape,), (*votes,), *[(e,) for e in extra]][:FEATURES])] + [_hash(kind, "pad", i) for i in range(FEATURES - 7 - len(extra))]
 
 
-def _cues(text: str, a: int) -> tuple[str, bool, bool, bool]:
-    """The text before a name, and whether it ends in a title, a cue of a name or a word before what is no name."""
+def _cues(text: str, a: int) -> tuple[bool, bool, bool]:
+    """Whether the text before a name ends in a title, a cue of a name or a word before what is no name."""
+    end = text[max(0, a - 24) : a].rstrip(_STOPS)
+    j = len(end)
+    while j and (end[j - 1].isalnum() or end[j - 1] == "_"):
+        j -= 1
+    word = end[j:].casefold()
+    if word not in _BEFORE:
+        return False, False, False
     left = text[max(0, a - 40) : a].replace("\n", " ")
-    end = left[-24:].casefold().rstrip(_STOPS)
-    return left, end.endswith(_TITLE_ENDS) and bool(NAME_TITLE.search(left)), end.endswith(_CUE_ENDS) and bool(NAME_BEFORE.search(left)), end.endswith(_STUDY_ENDS) and bool(NOT_NAME_BEFORE.search(left))
+    return word in _TITLE_ENDS and bool(NAME_TITLE.search(left)), word in _CUE_ENDS and bool(NAME_BEFORE.search(left)), word in _STUDY_ENDS and bool(NOT_NAME_BEFORE.search(left))
 
 
 def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[list[tuple]]:
     """The capitalised tokens of each run, (start, end, word); a run ends where a taken span begins and goes on after it."""
     for run in RUN.finditer(text):
-        tokens = [(m.start() + run.start(), m.end() + run.start(), m[0]) for m in re.finditer(rf"{_CAP}|[A-ZÀ-Þ]\.", run[0])]
-        near = [(a, b) for a, b in taken if a < run.end() and run.start() < b]
+        a0, b0 = run.span()
+        if " " in run[0] or "\xa0" in run[0]:
+            tokens = [(m.start() + a0, m.end() + a0, m[0]) for m in TOKEN.finditer(run[0])]
+        else:
+            tokens = [(a0, b0, run[0])]
+        near = [(a, b) for a, b in taken if a < b0 and a0 < b] if taken else taken
+        if not near:
+            yield tokens
+            continue
         part: list[tuple] = []
         for t in tokens:
             if any(a < t[1] and t[0] < b for a, b in near):
@@ -125,7 +144,7 @@ def _candidate(text: str, part: list[tuple], comma: bool, given: frozenset[str],
     value, right = text[a:b], text[b : b + 40].replace("\n", " ")
     known = any(p[2].casefold() in given for p in part)
     words = [p[2] for p in part if len(p[2].rstrip(".")) > 1]
-    _, title, before, study = _cues(text, a)
+    title, before, study = _cues(text, a)
     after = bool(NAME_AFTER.match(right))
     # The number of a house or the name in an email is no number of a study.
     apart = next((i for i in range(4) if b + i in starts), len(right))
@@ -155,7 +174,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
             ordinary = (low in common or low in often) and low not in given and len(tokens[at][2].rstrip(".")) > 1
             follows = tokens[at + 1][2] if at + 1 < len(tokens) else ""
             turned = bool(follows) and "," in text[tokens[at][1] : tokens[at + 1][0]] and follows.casefold() in given
-            if (low in _TITLES and not re.fullmatch(r"[A-ZÀ-Þ]\.", tokens[at][2])) or (ordinary and not turned and not any(_cues(text, tokens[at][0])[1:3])):
+            if (low in _TITLES and not re.fullmatch(r"[A-ZÀ-Þ]\.", tokens[at][2])) or (ordinary and not turned and not any(_cues(text, tokens[at][0])[:2])):
                 at += 1
                 continue
             # As many tokens as a name may have: initials, given names, one family name, or family name, given names.
@@ -173,7 +192,7 @@ def _names(text: str, given: frozenset[str], common: frozenset[str], often: froz
                     break
                 if (word in common or word in often) and word not in given and len(word) > 1:
                     known = part[0][2].casefold() in given or len(part[0][2]) == 2
-                    if "," not in between and not comma and not ordinary and families < 2 - known and (known or any(_cues(text, part[0][0])[1:3]) or (word not in common and NAME_AFTER.match(text[nxt[1] : nxt[1] + 40]))):
+                    if "," not in between and not comma and not ordinary and families < 2 - known and (known or any(_cues(text, part[0][0])[:2]) or (word not in common and NAME_AFTER.match(text[nxt[1] : nxt[1] + 40]))):
                         more = nxt
                     break
                 if "," in between:
@@ -222,7 +241,7 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], often:
     free = lambda a, b: not any(x < b and a < y for x, y in taken)
     spans: list[tuple[int, int]] = []
     for i, p in enumerate(ADDRESS):
-        for m in p.finditer(text):
+        for m in p.finditer(text) if (_POSTCODE if i else _FIGURE).search(text) else ():
             if free(m.start(), m.end()) and not any(x < m.end() and m.start() < y for x, y in spans):
                 left, right, w1, w2 = _around(text, m.start(), m.end())
                 votes = [1, 1 if ADDRESS_BEFORE.search(left) else -1, 1 if re.search(_POST, m[0]) else -1, 1 if i or re.search(_KIND, m[0]) else 0]
@@ -230,14 +249,15 @@ def candidates(text: str, given: frozenset[str], common: frozenset[str], often:
                 spans.append((m.start(), m.end()))
     taken += spans
     starts = frozenset(a for a, _ in taken)
-    for m in PHONE.finditer(text):
+    digits = bool(_DIGITS.search(text))
+    for m in PHONE.finditer(text) if digits else ():
         n = sum(c.isdigit() for c in m[0])
         if 8 <= n <= 15 and free(m.start(), m.end()):
             left, right, w1, w2 = _around(text, m.start(), m.end())
             cue, id_cue, no = PHONE_BEFORE.search(left), ID_BEFORE.search(left), NOT_PERSON_BEFORE.search(left)
             votes = [1 if PHONE_SHAPE.match(m[0]) else 0, 1 if cue else -1, 1 if PHONE_AFTER.match(right) else -1, 0 if no or id_cue else -1, 0 if ID_SHAPE.match(m[0]) else -1]
             out.append((m.start(), m.end(), "phone", m[0], votes, _features("phone", m[0], w1, w2, (n,), votes)))
-    for m in ID.finditer(text):
+    for m in ID.finditer(text) if digits else ():
         if free(m.start(), m.end()):
             value, a = m[0], m.start()
             label = re.match(r"(?:MRN|SSN|NHS|ID|NO|NR)[ -]", value)
@@ -318,7 +338,11 @@ def common_words(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
     """Words that many texts write in lower case, and other words that many texts write otherwise, folded: surely more than
     COMMON of all, at any number of texts. Texts of the same words, however often they repeat, are one text; an email has no words, as
     they may be names."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.regexp_replace("t", _EMAIL_LIKE, " "), F.lit(r"\p{L}{2,}"), F.lit(0))))
+    mail = F.lit(False)
+    for sign in ("@", "＠", "(at", "[at", "{at", " dot "):
+        mail = mail | F.lower("t").contains(sign)
+    text = F.when(mail, F.regexp_replace("t", _EMAIL_LIKE, " ")).otherwise(F.col("t"))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\p{L}{2,}"), F.lit(0))))
     each = cut(texts.select(words.alias("w")).groupBy(F.xxhash64("w")).agg(F.first("w").alias("w")).select("w"))
     mean = each.count() * COMMON
     least = mean + 3 * mean**0.5 + 3
