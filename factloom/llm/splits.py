@@ -33,6 +33,8 @@ UNIT = r"(?:mg|mcg|µg|μg|ug|ng|g|kg|ml|l|dl|iu|i\.u\.|units?|u|meq|mmol|mol|pe
 STRENGTH = re.compile(rf"\d+(?:[.,]\d+)?\s*{UNIT}(?:\s*/\s*(?:\d+(?:[.,]\d+)?\s*)?(?:{UNIT}|hours?|hr?|days?|dose|tablet|capsule|vial))?(?![a-z])")
 MARKS = re.compile(r"[®™©℠]|\((?:r|tm|c|sm)\)")
 SEVERAL = re.compile(r"[+;/&,|]|\s(?:and|with|plus|und|mit)\s")
+#: Values of the labels that splits are stratified by, at most; their sums are on the driver.
+MOST_LABELS = 100_000
 PLAIN = frozenset(SALTS) | frozenset(FORMS)
 
 
@@ -131,7 +133,7 @@ def assign_splits(records: DataFrame, shares: dict[str, float] = {"train": 0.8,
     A group's labels are summed into one vector. Groups with over a thousandth of all records, at most 1,000, are placed
     first, as what they take decides what is left; the others fill that in randomised buckets of about `bucket` groups,
     each with its part of every split's outstanding labels, so no task or driver holds all groups. Null labels count as
-    a label. An empty table gives no rows.
+    a label; labels of more than MOST_LABELS values are an error. An empty table gives no rows.
     """
     names = list(shares)
     groups = cut(linked_groups(records, key))
@@ -143,7 +145,9 @@ def assign_splits(records: DataFrame, shares: dict[str, float] = {"train": 0.8,
     if not n_groups:
         return groups.withColumn("assigned_split", F.lit(None).cast("string"))
     limit = max(total // 1000, 1)
-    sums = {r[0]: r[1] for r in vec.select(F.explode("labels")).groupBy("key").agg(F.sum("value")).collect()}  # one row a label
+    sums = {r[0]: r[1] for r in vec.select(F.explode("labels")).groupBy("key").agg(F.sum("value")).limit(MOST_LABELS + 1).collect()}
+    if len(sums) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels: stratify by fields with fewer values")
     want = [{l: shares[s] * n for l, n in sums.items()} for s in names]
     room = [shares[s] * total for s in names]
     heavy = [(r[0], r[1], dict(r[2])) for r in vec.where(F.col("size") > limit).select("group_id", "size", "labels").collect()]  # at most 1,000

@@ -35,7 +35,7 @@ class Settings:
     books: int = 12  # residual codebooks after those that make the cells
     words: int = 256  # codewords of each of them, and of those after the first that make cells, at most
     beam: int = 3
-    probes: int = 6  # cells whose vectors are scored for a vector
+    probes: int = 6  # cells whose vectors are scored for a vector, times the number of codebooks that make them
     rerank: tuple[int, ...] = (256, 96, 64, 48, 32, 32)  # vectors of the nearest cells that are compared exactly, the last number for all further cells
     rounds: int = 8  # of k-means
     seed: int = 11
@@ -172,7 +172,7 @@ def neighbours(vectors: DataFrame, key: str = "fact_idx", vector: str = "embeddi
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells, codes, norms = encode(_matrix(b.column(1).to_pylist(), s.dim), books.value, s.beam, len(sizes), s.probes)
+            cells, codes, norms = encode(_matrix(b.column(1).to_pylist(), s.dim), books.value, s.beam, len(sizes), s.probes * len(sizes))
             ids = cell_ids(cells, sizes)
             width = codes.shape[1] * 2
             flat = pa.py_buffer(np.ascontiguousarray(codes).tobytes())
@@ -240,8 +240,9 @@ def search(left: pa.Table, right: pa.Table, books: list[np.ndarray], s: Settings
     self_ = np.array([place.get(k, -1) for k in qs.to_pylist()])
     queries = _matrix(left.column("u").to_pylist(), s.dim)
     starts, found, cosines = [np.zeros(1, np.int64)], [], []
-    ends = np.searchsorted(rank, np.arange(s.probes + 1))
-    steps = [(a, min(a + STEP, ends[r + 1]), s.rerank[min(r, len(s.rerank) - 1)]) for r in range(s.probes) for a in range(ends[r], ends[r + 1], STEP)]
+    last = int(rank[-1])
+    ends = np.searchsorted(rank, np.arange(last + 2))
+    steps = [(a, min(a + STEP, ends[r + 1]), s.rerank[min(r, len(s.rerank) - 1)]) for r in range(last + 1) for a in range(ends[r], ends[r + 1], STEP)]
     for a, b, keep in steps:
         q, own = queries[a:b], self_[a:b]
         score = np.zeros((len(ids), b - a), np.float32)
