@@ -1,9 +1,15 @@
 import random
 
+import pytest
+
+from factloom.operators import graphs
 from factloom.operators.graphs import connected_components, lookup
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few, hot", [(100_000, 1000), (10, 20)])
+def test_components_match_union_find(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(graphs, "FEW_EDGES", few)
+    monkeypatch.setattr(graphs, "HOT", hot)
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900), (900, 900)] + [(1000, 1001 + i) for i in range(60)]
     parent = {}
