@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from factloom.functions.text import norm_text, token_set
 from factloom.operators.hotkeys import key_quantiles
 
-# Parts of made-up distractors.
-SUBJECTS = ["compound", "molecule", "agent", "ligand"]
-PREDICATES = ["modulates", "binds", "was screened against", "showed no effect on"]
-OBJECTS = ["an unrelated receptor", "a control pathway", "an unspecified enzyme", "a reference assay"]
-SUFFIXES = [" (as reported in a secondary source)", " This was noted elsewhere.", " See related entries.", " Reported without review."]
+# Parts of made-up distractors and what decoys add to a text.
+SUBJECTS = ["compound", "receptor", "pathway", "enzyme", "metabolite", "transporter", "ligand", "isoform", "assay", "biomarker", "cofactor", "substrate"]
+PREDICATES = ["is associated with", "modulates", "is co-expressed with", "inhibits", "shares a scaffold with", "is annotated for", "is upregulated in", "has been reported alongside"]
+OBJECTS = ["the mitochondrial matrix", "an orphan GPCR", "a phase-II conjugate", "the cytochrome P450 family", "a lysosomal disorder", "an off-target kinase", "a synthetic analogue", "an unrelated tissue panel"]
+TITLE_A = ["Uncurated", "Auxiliary", "Peripheral", "Ancillary", "Tangential"]
+TITLE_B = ["annotation", "note", "record", "observation", "entry"]
+SUFFIXES = [" (cf. related source record)", " [duplicate annotation]", " -- see alternative source", " (mirrored entry)"]
 #: A source is one of a bank's own if it has at least this part of its facts; so there are few of them.
 SMALLEST = 0.01
 SOURCES = ["drugchat_chembl", "drugchat_pubchem", "fdarxbench_label", "primekg"]
@@ -37,26 +39,54 @@ def first_by_hash(ids: DataFrame, key: str, n: int, total: int, seed: int) -> Da
     return x.where(F.col("_v") <= (last["quantile"] if last and n > 0 else -1)).select(key)
 
 
+def own_sources(facts: DataFrame, total: int) -> list[str]:
+    """The bank's own sources, in order: those with at least SMALLEST of its facts, so there are few."""
+    n = facts.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in n.where(F.col("n") >= total * SMALLEST).select("source").orderBy("source").collect()]
+
+
 def noise(facts: DataFrame, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """id, source, relation, text: round(share * facts) distractors; their number follows the table."""
+    """id, source, source_id, title, relation, text, n_tokens: round(share * facts) distractors under the bank's own sources;
+    their number follows the table. They have no aliases and no entities."""
+    if share < 0:
+        raise ValueError("share must not be negative")
+    total = facts.count()
+    known = own_sources(facts, total) or ["synthetic"]
     n = int(facts.agg(F.bround(F.count(F.lit(1)) * share)).first()[0])
     i = F.col("id").cast("string")
-    tag = F.lit(1000) + F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), i, F.lit("tag"))), 1, 8), 16, 10).cast("long") % 8999
-    text = F.concat(F.lit("The candidate "), pick(SUBJECTS, str(seed), i, "s"), F.lit(" #"), tag.cast("string"), F.lit(" "), pick(PREDICATES, str(seed), i, "p"), F.lit(" "), pick(OBJECTS, str(seed), i, "o"), F.lit("."))
-    return facts.sparkSession.range(n).select(F.concat(F.lit("noise_"), F.lpad(i, 8, "0")).alias("id"), pick(SOURCES, str(seed), i, "src").alias("source"), F.lit("distractor").alias("relation"), text.alias("text"))
+    tag = (F.lit(1000) + F.conv(F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), i, F.lit("tag"))), 1, 8), 16, 10).cast("long") % 8999).cast("string")
+    part = lambda values, mark: pick(values, str(seed), i, mark)
+    text = F.concat(F.lit("The candidate "), part(SUBJECTS, "s"), F.lit(" #"), tag, F.lit(" "), part(PREDICATES, "p"), F.lit(" "), part(OBJECTS, "o"), F.lit("."))
+    x = facts.sparkSession.range(n).select(
+        F.concat(F.lit("noise_"), F.lpad(i, 8, "0")).alias("id"), part(known, "src").alias("source"), F.concat(F.lit("noise-"), tag).alias("source_id"),
+        F.concat_ws(" ", part(TITLE_A, "a"), part(TITLE_B, "b"), tag).alias("title"), F.lit("distractor").alias("relation"), text.alias("text"),
+    )
+    return x.withColumn("n_tokens", F.size(token_set("text")))
 
 
 def decoys(facts: DataFrame, per: int = 1, share: float = 1.0, seed: int = 0) -> DataFrame:
-    """fact_idx, copy, source, true_source, text, n_tokens: near-copies under a wrong source of a drawn share of facts. Wrong
-    sources are the bank's own other ones."""
+    """fact_idx, copy, id, source, true_source, title, relation, text, metadata, n_tokens: near-copies under a wrong source of
+    a drawn share of facts. Wrong sources are the bank's own other ones, or the name with "_wrong" where there is none. Copies
+    have no aliases, and metadata that say what they are."""
+    if per < 0 or not 0 <= share <= 1:
+        raise ValueError("per must not be negative, share must be from 0 to 1")
     total = facts.count()
-    known = [r[0] for r in facts.where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= total * SMALLEST).select("source").orderBy("source").collect()]
+    known = own_sources(facts, total)
     seeds = facts if share >= 1 else facts.join(first_by_hash(facts, "fact_idx", round(total * share), total, seed), "fact_idx", "left_semi")
-    x = seeds.select("fact_idx", "source", F.coalesce("text", F.lit("")).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("copy"))
+    more = {c: F.col(c) if c in facts.columns else F.lit(None).cast("string") for c in ("id", "title", "relation")}
+    about = F.col("metadata").cast("map<string,string>") if "metadata" in facts.columns else F.lit(None).cast("map<string,string>")
+    x = seeds.select("fact_idx", "source", F.coalesce("text", F.lit("")).alias("t"), about.alias("md"), *(v.alias(k) for k, v in more.items()), F.explode(F.sequence(F.lit(0), F.lit(per - 1)) if per else F.array().cast("array<int>")).alias("copy"))
     key = (str(seed), F.col("fact_idx").cast("string"), F.col("copy").cast("string"))
-    others = F.filter(F.array(*map(F.lit, known or SOURCES)), lambda s: s != F.coalesce("source", F.lit("")))
+    own = F.coalesce("source", F.lit(""))
+    others = F.filter(F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"), lambda s: s != own)
+    wrong = F.when(F.size(others) > 0, pick(F.when(F.size(others) > 0, others).otherwise(F.array(own)), *key, F.lit("src"))).otherwise(F.concat(own, F.lit("_wrong")))
     text = F.concat("t", pick(SUFFIXES, *key, F.lit("x")))
-    return x.select("fact_idx", "copy", pick(others, *key, F.lit("src")).alias("source"), F.col("source").alias("true_source"), text.alias("text"), F.size(token_set(text)).alias("n_tokens"))
+    flags = F.map_filter(F.coalesce("md", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("decoy", "decoy_of", "decoy_true_source"))
+    flags = F.map_concat(flags, F.create_map(F.lit("decoy"), F.lit("true"), F.lit("decoy_of"), F.col("id"), F.lit("decoy_true_source"), F.col("source")))
+    return x.select(
+        "fact_idx", "copy", F.concat(F.lit("decoy_"), F.coalesce("id", F.col("fact_idx").cast("string")), F.lit("_"), F.col("copy").cast("string")).alias("id"), wrong.alias("source"), F.col("source").alias("true_source"),
+        "title", "relation", text.alias("text"), flags.alias("metadata"), F.size(token_set(text)).alias("n_tokens"),
+    )
 
 
 def perturbed(facts: DataFrame, mode: str = "decoy", **how) -> DataFrame:

@@ -915,12 +915,13 @@ def method_deltas(spark, d):
 
 @query
 def noise_injected(spark, d):
-    return V.noise(_facts(spark, d), 0.5)
+    return _long(V.noise(_facts(spark, d), 0.5), "n_tokens")
 
 
 @query
 def decoys_made(spark, d):
-    return _long(V.decoys(_facts(spark, d), 2, 0.3), "copy", "n_tokens")
+    x = V.decoys(_facts(spark, d), 2, 0.3).withColumn("decoy_of", F.col("metadata")["decoy_of"]).withColumn("n_flags", F.size("metadata"))
+    return _long(x.drop("metadata"), "copy", "n_tokens", "n_flags")
 
 
 @query

@@ -164,13 +164,16 @@ SUMMARY = """per as (select identity, count(distinct split) as k from hold where
 _KEYED = """k as (select regexp_replace(lower(regexp_replace(source, '^[\\s]+|[\\s]+$', '', 'g')), '[\\s_-]+', '_', 'g') as source,
  regexp_replace(lower(regexp_replace(relation, '^[\\s]+|[\\s]+$', '', 'g')), '[\\s_-]+', '_', 'g') as relation, id, loaded_at from facts)"""
 _DEC = "cast(fact_idx as varchar)"
-_noise = f"""select 'noise_' || lpad(cast(id as varchar), 8, '0') as id, {pick(V.SOURCES, "'0'", "cast(id as varchar)", "'src'")} as source, 'distractor' as relation,
- 'The candidate ' || {pick(V.SUBJECTS, "'0'", "cast(id as varchar)", "'s'")} || ' #' || cast(1000 + {h32("'0'", "cast(id as varchar)", "'tag'")} % 8999 as varchar) || ' ' || {pick(V.PREDICATES, "'0'", "cast(id as varchar)", "'p'")} || ' ' || {pick(V.OBJECTS, "'0'", "cast(id as varchar)", "'o'")} || '.' as text
- from (select unnest(range(cast(round_even((select count(*) from facts) * {{share}}, 0) as bigint))) as id)"""
+KS = "ks as (select list(source order by source) as k from (select source from facts where source is not null group by 1 having count(*) >= 0.01 * (select count(*) from facts)))"
+_tag = "cast(1000 + " + h32("'0'", "cast(id as varchar)", "'tag'") + " % 8999 as varchar)"
+_part = lambda xs, mark: pick(xs, "'0'", "cast(id as varchar)", q(mark))
+_noise = f"""select 'noise_' || lpad(cast(id as varchar), 8, '0') as id, {_part('ks.k', 'src').replace('len([ks.k])', 'len(ks.k)')} as source, 'noise-' || {_tag} as source_id, {_part(V.TITLE_A, 'a')} || ' ' || {_part(V.TITLE_B, 'b')} || ' ' || {_tag} as title, 'distractor' as relation,
+ 'The candidate ' || {_part(V.SUBJECTS, 's')} || ' #' || {_tag} || ' ' || {_part(V.PREDICATES, 'p')} || ' ' || {_part(V.OBJECTS, 'o')} || '.' as text
+ from (select unnest(range(cast(round_even((select count(*) from facts) * {{share}}, 0) as bigint))) as id), ks"""
 _others = "list_filter(ks.k, lambda s: s <> coalesce(source, ''))"
-decoy = lambda per, share: f"""ks as (select list(source order by source) as k from (select source from facts where source is not null group by 1 having count(*) >= 0.01 * (select count(*) from facts))), seeds as (select * from (select *, row_number() over (order by sha1('0|' || {_DEC})) as hr, count(*) over () as hn from facts) where hr <= round_even(hn * {share}, 0)),
- cp as (select fact_idx, source, coalesce(text, '') as t, unnest(range({per})) as copy from seeds),
- dc as (select fact_idx, copy, {pick(_others, "'0'", _DEC, "cast(copy as varchar)", "'src'")} as source, source as true_source, t || {pick(V.SUFFIXES, "'0'", _DEC, "cast(copy as varchar)", "'x'")} as text from cp, ks)"""
+decoy = lambda per, share: f"""{KS}, seeds as (select * from (select *, row_number() over (order by sha1('0|' || {_DEC})) as hr, count(*) over () as hn from facts) where hr <= round_even(hn * {share}, 0)),
+ cp as (select fact_idx, id, title, relation, metadata, source, coalesce(text, '') as t, unnest(range({per})) as copy from seeds),
+ dc as (select fact_idx, id as own_id, title, relation, metadata, copy, {pick(_others, "'0'", _DEC, "cast(copy as varchar)", "'src'")} as source, source as true_source, t || {pick(V.SUFFIXES, "'0'", _DEC, "cast(copy as varchar)", "'x'")} as text from cp, ks)"""
 _order = "list_position(['fdarxbench_label', 'drugchat_pubchem', 'drugchat_chembl', 'primekg'], source)"
 _qtemplate = "case " + " ".join(f"when g_rel = {q(r)} then replace({q(t)}, '{{alias}}', alias)" for r, t in N.QUESTIONS.items()) + " else 'Regarding ' || alias || ', what does the knowledge base report for the ''' || coalesce(g_rel, 'fact') || ''' relation?' end"
 _allow = "case g_source " + " ".join(f"when {q(s)} then {array(SKILLS[k][0])}" for s, k in N.INTENDED.items()) + " end"
@@ -420,8 +423,8 @@ SQL = {
     "task_inventory": f"with {QA}, {WITH_EVIDENCE}, {INVENTORY} select * from ti",
     "answer_shape_counts": f"with {QA} select {shape('gold_answer')} as shape, count(*) as n from qa group by 1",
     "arrivals": f"with {_KEYED} select date_trunc('day', loaded_at) as start, source, relation, count(*) as n from k where loaded_at is not null group by 1, 2, 3",
-    "noise_injected": _noise.format(share=0.5),
-    "decoys_made": f"with {decoy(2, 0.3)} select fact_idx, copy, source, true_source, text, len(list_distinct({tokens('text')})) as n_tokens from dc",
+    "noise_injected": f"with {KS}, nz as ({_noise.format(share=0.5)}) select *, len(list_distinct({tokens('text')})) as n_tokens from nz",
+    "decoys_made": f"with {decoy(2, 0.3)} select fact_idx, copy, 'decoy_' || coalesce(own_id, cast(fact_idx as varchar)) || '_' || cast(copy as varchar) as id, source, true_source, title, relation, text, len(list_distinct({tokens('text')})) as n_tokens, own_id as decoy_of, coalesce(cardinality(metadata), 0) + 3 as n_flags from dc",
     "perturbed_counts": f"""with {decoy(1, 1.0)}, nz as ({_noise.format(share=1.0)}), al as (select 'noisy' as mode, source, false as injected from facts union all select 'decoy', source, false from facts union all select 'noisy', source, true from nz union all select 'decoy', source, true from dc)
  select mode, source, injected, count(*) as n from al group by 1, 2, 3""",
     "split_by_hash": f"with {QA} select qa_id, task_type, case when r <= 50 then 'train' when r <= 60 then 'dev' else 'rest' end as split from (select qa_id, task_type, row_number() over (partition by task_type order by sha1('13|' || cast(qa_id as varchar)), qa_id) as r from qa)",
