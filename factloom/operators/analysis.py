@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.routing import SOURCES
-from factloom.functions.text import RECALL_STOPWORDS, jaccard, metric_text
+from factloom.functions.text import RECALL_STOPWORDS, evidence_text, jaccard, metric_text
 from factloom.storage import cut
 
 
@@ -61,8 +61,8 @@ def divergence(dist: DataFrame) -> DataFrame:
 
 def evidence_words(found: DataFrame, facts: DataFrame, *by: str) -> DataFrame:
     """by, words (distinct) of the titles and texts that were found; a query has few facts."""
-    x = found.select("qid", "fact_idx").join(facts.select("fact_idx", "source", F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("text", F.lit(""))).alias("t")), "fact_idx")
-    return x.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list(_words(F.col("t"))))).alias("words"))
+    x = found.select("qid", "fact_idx").join(facts.select("fact_idx", "source", "title", "text"), "fact_idx")
+    return x.groupBy(*by).agg(F.array_distinct(_words(evidence_text(F.collect_list(F.struct("title", "text"))))).alias("words"))
 
 
 def _words(c: Column) -> Column:
