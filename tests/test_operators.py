@@ -32,6 +32,42 @@ def test_candidate_cap_stops_after_the_term_that_reaches_it(spark):
     assert {r["fact_idx"] for r in Q.capped_terms(terms, post, 1).collect()} == {1}
 
 
+def test_search_in_blocks_matches_sums_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 60}"
+    rows = [(i, rng.choice(["primekg", "s", None]), rng.choice(["r", "t"]), None, " ".join(word() for _ in range(rng.randint(0, 12))), [f"Name {rng.randint(0, 30)}"], None, None) for i in range(300)]
+    f = spark.createDataFrame(rows, FACT)
+    asked = [(i, " ".join(word() for _ in range(8)), f"name {i}" if i < 20 else None, ["one", "all", None][i % 3]) for i in range(40)]
+    q = spark.createDataFrame(asked, "qid long, qtext string, drug_name string, skill string").withColumns({c: F.lit(None).cast("string") for c in ("question", "input_molecule_or_context", "decoded_smiles", "task_type")})
+    skills = {"one": (["s"], ["r", "t"]), "all": (["primekg", "s"], ["r", "t"])}
+    table = spark.createDataFrame([(k, *v, 2) for k, v in skills.items()], "skill string, sources array<string>, relations array<string>, top_k int")
+    n, avgdl = Q.sizes(f)
+    post = Q.postings(f)
+    terms = Q.query_terms(q, Q.inverse_frequency(post, n), least=2).cache()
+    monkeypatch.setattr(Q, "query_terms", lambda *a, **k: terms)
+    sums = {(r["qid"], r["fact_idx"]): r["score"] for r in Q.lexical_scores(terms, post, avgdl).collect()}
+    fact = {r[0]: r for r in rows}
+    for cap, method, block in ((1000, "bm25_skillrouted", 70), (40, "hybrid", 70), (40, "bm25_skillrouted", 300), (90, "bm25_skillrouted", 70)):
+        monkeypatch.setattr(Q.blocks, "BLOCK", block)
+        capped = {(r["qid"], r["fact_idx"]) for r in Q.capped_terms(terms, post, cap).collect()} if n > cap else set(sums)
+        want = set()
+        for qid, _, name, skill in asked:
+            found = []
+            for i, r in fact.items():
+                if method == "bm25_skillrouted" and (skill is None or r[1] not in skills[skill][0]):
+                    continue
+                hit = name is not None and r[5][0].lower() == name
+                if hit or (qid, i) in capped:
+                    score = (sums.get((qid, i), 0) + 50_000) // 100_000 + 10_000 * hit * ((8 if method == "hybrid" else 0) + (r[1] == "primekg"))
+                    found.append((-score, not hit, i))
+            found = [x for x in sorted(found) if x[0] < 0][: 2 if method == "hybrid" and skill else 4]
+            want |= {(qid, rank, i, -s / 1e4, not miss) for rank, (s, miss, i) in enumerate(found, 1)}
+        got = Q.retrieve(q, f, method, 4, table, cap=cap).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    late = {(r["qid"], r["rank"], r["fact_idx"]) for r in Q.bm25_topk(q, f, k=5, larger_first=True, rounded=False).collect()}
+    assert late == {(x, rank, i) for x in range(40) for rank, (_, i) in enumerate(sorted(((s, i) for (y, i), s in sums.items() if y == x), reverse=True)[:5], 1)}
+
+
 def test_edge_cap_matches_a_sequential_walk(spark):
     rng = random.Random(1)
     for cap in (1, 2, 3):
