@@ -2,14 +2,15 @@
 
 A vector is the sum of one full-dimensional codeword of each codebook, found by beam search over residual codebooks. The
 sums of the first codebooks are cells; how many books make a cell grows with the number of vectors, so that a cell holds
-about the same number of them at any size. Every vector is scored against all vectors of the cells nearest to it, by tables
+about the same number of them at any size. The second of these books is one for each codeword of the first, fitted on the
+vectors around it, so that its cells follow them wherever they lie. Every vector is scored against all vectors of the cells nearest to it, by tables
 of its products with the codewords and the stored norms of the sums; a fixed number of the best is reranked exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,7 @@ class Settings:
     probes: int = 6  # cells whose vectors are scored for a vector, times the number of codebooks that make them
     rerank: tuple[int, ...] = (256, 96, 64, 48, 32, 32)  # vectors of the nearest cells that are compared exactly, the last number for all further cells
     rounds: int = 8  # of k-means
+    local: int = 40  # classes that a word of the codebooks around the first one's words is fitted on, about
     seed: int = 11
     block: int = 4096  # vectors of a cell, and queries of it, that meet in one group, at most about
 
@@ -67,23 +69,63 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return centre
 
 
-def fit(x: np.ndarray, levels: list[int], s: Settings) -> list[np.ndarray]:
-    """Codebooks, those of the cells first, each fitted on what the ones before it leave over."""
+def fit(x: np.ndarray, levels: list[int], s: Settings, around: Callable[[np.ndarray, int], np.ndarray] | None = None) -> list[np.ndarray]:
+    """Codebooks, those of the cells first, each fitted on what the ones before it leave over.
+
+    around(first codebook, size): if given, the second codebook of the cells, one for each word of the first.
+    """
     rng = np.random.default_rng(s.seed)
     books: list[np.ndarray] = []
     left = x
-    for size in [*levels, *[s.words] * s.books]:
+    for m, size in enumerate([*levels, *[s.words] * s.books]):
+        if m == 1 and m < len(levels) and around:
+            books.append(around(books[0], size))
+            left = np.concatenate([beam_search(x[a : a + 1024], books, s.beam)[1][:, 0] for a in range(0, len(x), 1024)])
+            continue
         books.append(_kmeans(left, size, s.rounds, rng))
         left = left - books[-1][_nearest(left, books[-1])]
     return books
 
 
+def _around(classes: DataFrame, n: int, first: np.ndarray, size: int, s: Settings) -> np.ndarray:
+    """A codebook of `size` words for each word of the first one, fitted on what that leaves over of the classes next to it:
+    on about `local` a word, drawn by a hash. Words that nothing is there for lie far from all."""
+    share = min(1.0, s.local * len(first) * size / max(n, 1))
+    sent = classes.sparkSession.sparkContext.broadcast(first)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(1).to_pylist(), s.dim)
+            near = _nearest(x, sent.value) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), b.column(0), pa.array([r.tobytes() for r in x - sent.value[near]], pa.binary())], names=["word", "h", "left"])
+
+    def one(t: pa.Table) -> pa.Table:
+        word = t.column("word")[0].as_py()
+        x = _matrix(t.take(pc.sort_indices(t.column("h"))).column("left").to_pylist(), s.dim)
+        return pa.table({"word": [word], "book": pa.array([_kmeans(x, size, s.rounds, np.random.default_rng(s.seed + word)).tobytes()], pa.binary())})
+
+    drawn = classes.where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1_000_000_007)) < int(1_000_000_007 * share)).select("h", "u")
+    out = np.full((len(first), size, s.dim), 1e3, np.float32)
+    out[:, 0] = 0
+    for r in drawn.mapInArrow(assign, "word long, h binary, left binary").groupBy("word").applyInArrow(one, "word long, book binary").collect():  # the codebook itself
+        book = _matrix([r["book"]], s.dim)
+        out[r["word"], : len(book)] = book
+    return out
+
+
 def beam_search(left: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the beam best paths of codewords, best first, and what each leaves over."""
+    """Of each row the beam best paths of codewords, best first, and what each leaves over. A book of three dimensions has a
+    codebook for each word of the first."""
     n = len(left)
     left, path, error = left[:, None, :], np.zeros((n, 1, 0), np.int16), np.zeros((n, 1), np.float32)
     for book in books:
-        cost = error[:, :, None] + (book**2).sum(1) - 2 * (left.reshape(-1, left.shape[2]) @ book.T).reshape(n, left.shape[1], -1)
+        if book.ndim == 3:
+            square, first = (book**2).sum(2), path[:, :, 0]
+            step = max(1, (1 << 23) // max(1, left.shape[1] * book.shape[1] * book.shape[2]))
+            product = np.concatenate([np.matmul(book[first[a : a + step]], left[a : a + step, :, :, None])[..., 0] for a in range(0, max(n, 1), step)])
+            cost = error[:, :, None] + square[first] - 2 * product
+        else:
+            cost = error[:, :, None] + (book**2).sum(1) - 2 * (left.reshape(-1, left.shape[2]) @ book.T).reshape(n, left.shape[1], -1)
         flat = cost.reshape(n, -1)
         keep = min(beam, flat.shape[1])
         best, error, rows = np.empty((n, keep), np.int64), np.empty((n, keep), np.float32), np.arange(n)
@@ -91,8 +133,9 @@ def beam_search(left: np.ndarray, books: list[np.ndarray], beam: int) -> tuple[n
             best[:, j] = at = flat.argmin(axis=1)
             error[:, j] = flat[rows, at]
             flat[rows, at] = np.inf
-        parent, word = best // len(book), best % len(book)
-        left = np.take_along_axis(left, parent[:, :, None], axis=1) - book[word]
+        parent, word = best // book.shape[-2], best % book.shape[-2]
+        added = book[np.take_along_axis(first, parent, axis=1), word] if book.ndim == 3 else book[word]
+        left = np.take_along_axis(left, parent[:, :, None], axis=1) - added
         path = np.concatenate([np.take_along_axis(path, parent[:, :, None], axis=1), word[:, :, None].astype(np.int16)], axis=2)
     return path, left
 
@@ -110,7 +153,8 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int, levels: int = 1, p
     cells, codes, norms = [], [], []
     for a in range(0, max(len(x), 1), 2048):
         v = x[a : a + 2048]
-        near, left = beam_search(v, books[:levels], max(probes, beam))
+        # Cells of several books lie about more words of the first than are asked in the end.
+        near, left = beam_search(v, books[:levels], max(probes, beam) * min(levels, 2))
         path, rest = beam_search(left[:, 0], books[levels:], beam)
         cells.append(near[:, :probes])
         codes.append(np.concatenate([near[:, 0], path[:, 0]], axis=1))
@@ -119,7 +163,7 @@ def encode(x: np.ndarray, books: list[np.ndarray], beam: int, levels: int = 1, p
 
 
 def decode(codes: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
-    return sum(book[codes[:, m]] for m, book in enumerate(books))
+    return sum(book[codes[:, 0], codes[:, m]] if book.ndim == 3 else book[codes[:, m]] for m, book in enumerate(books))
 
 
 def _unit_rows(vectors: DataFrame, key: str, vector: str, version: str, dim: int) -> DataFrame:
@@ -151,7 +195,7 @@ def neighbours(vectors: DataFrame, key: str = "fact_idx", vector: str = "embeddi
     cosine is rounded to 6 decimals and ties go to the smaller key. Of repeated keys the latest row counts. Null vectors,
     vectors of another length, with null, NaN or infinite values or of length 0 have no row and are no one's neighbour.
     Vectors of the same direction are one class: a class is compared once, and as only its k + 1 least keys can be among
-    anyone's nearest, copies never multiply. Codebooks are fitted on a sample of at most `sample` classes drawn by a hash;
+    anyone's nearest, copies never multiply. Codebooks are fitted on classes drawn by a hash, about `sample`, and `local` a cell;
     every class is indexed and every class is a query. Large or much asked cells are cut into blocks, all of which meet, and
     the work of a query doesn't grow with the table: cells are about as large, and probes and reranked vectors as many.
     An empty table gives no rows.
@@ -166,8 +210,8 @@ def neighbours(vectors: DataFrame, key: str = "fact_idx", vector: str = "embeddi
     x = _matrix([r[0] for r in draw.select("u").limit(2 * s.sample).collect()], s.dim)
     if not len(x):
         return spark.createDataFrame([], f"`{key}` {kind}, near array<struct<neighbour:{kind},cosine:double>>")
-    fitted = fit(x, s.levels(n), s)
-    sizes = [len(b) for b in fitted[: len(s.levels(n))]]
+    fitted = fit(x, s.levels(n), s, lambda first, size: _around(classes, n, first, size, s))
+    sizes = [b.shape[-2] for b in fitted[: len(s.levels(n))]]
     books = spark.sparkContext.broadcast(fitted)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +291,8 @@ def search(left: pa.Table, right: pa.Table, books: list[np.ndarray], s: Settings
         q, own = queries[a:b], self_[a:b]
         score = np.zeros((len(ids), b - a), np.float32)
         for m, book in enumerate(books):
-            score += np.take(book @ q.T, codes[:, m], axis=0)
+            # All vectors here are of one cell, so of one word of the first book.
+            score += np.take((book[codes[0, 0]] if book.ndim == 3 else book) @ q.T, codes[:, m], axis=0)
         score /= norm
         at = np.flatnonzero(own >= 0)
         score[own[at], at] = -9
