@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.labels import Ngrams, cutoff, fit, posterior
+from factloom.llm.labels import Ngrams, cutoff, fit, logistic, posterior, slope
 from factloom.storage import cut
 
 DEFECTS = ["empty", "refusal", "copied_question", "other_language", "truncated"]
 #: Labelling functions of each defect, in the order in which votes() gives them.
 FUNCTIONS = {"empty": 3, "refusal": 7, "copied_question": 3, "other_language": 3, "truncated": 5}
-#: Answers that the models of languages and of endings are fitted on, about; drawn by a hash.
-SAMPLE = 30_000
+#: Words that a task counts before it hands them on, and tasks that a pass over the examples of endings has at most, as each
+#: sends a slope of 1 MB.
+WORDS, TASKS = 200_000, 64
 
 # Words of four languages, fillers, labels and turns of phrase.
 FUNCTION_WORDS = {
@@ -110,9 +115,10 @@ def _hash(*parts: object) -> int:
 
 def ending_features(text: str, known: frozenset[str]) -> list[int]:
     """Eight features: of the last three words, and of how their sentence begins."""
-    sentence = re.split(r"[.!?]\s", text.casefold())[-1]
-    begin = re.findall(r"[^\s.!?\"“”]+", sentence)[:6]
-    w = ["", "", "", *re.findall(r"[^\s.!?\"“”]+", text.casefold())][-3:]
+    sentences = re.split(r"[.!?]\s", text.casefold())
+    words = re.findall(r"[^\s.!?\"“”]+", text.casefold())
+    begin = (words if len(sentences) == 1 else re.findall(r"[^\s.!?\"“”]+", sentences[-1]))[:6]
+    w = ["", "", "", *words][-3:]
     shape = lambda x: x if x in known else "9" if re.fullmatch(r"[\d.,-]+", x) else "#" + x[-3:] if len(x) > 5 else "~" + str(len(x))
     c = [shape(x) for x in w]
     return [_hash(1, c[2]), _hash(2, c[1], c[2]), _hash(3, *c), _hash(4, c[0], c[1]), _hash(5, w[2][-3:], w[2] in known), _hash(6, min(len(w[2]), 9), w[2] in known), _hash(7, c[1]), _hash(8, *[x for x in map(shape, begin) if x[0] not in "#9~"][:3], c[1], c[2])]
@@ -123,30 +129,85 @@ def _letters(text: str) -> np.ndarray:
     return np.unique((c[:-2] * 73_856_093 ^ c[1:-1] * 19_349_663 ^ c[2:] * 83_492_791) & 0x1FFFF)
 
 
+def _grams(texts: list[list[str]]) -> np.ndarray:
+    """_letters() of each text of the given words, with the text's number before them."""
+    part = [f"  {' '.join(words)} " for words in texts]
+    c = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+    whole = owner[:-2] == owner[2:]
+    gram = (c[:-2] * 73_856_093 ^ c[1:-1] * 19_349_663 ^ c[2:] * 83_492_791) & 0x1FFFF
+    return np.unique((owner[:-2][whole] << 17) | gram[whole])
+
+
+def _sentences(text: str) -> list[str]:
+    """The sentences of a text that end with their stop, each of twelve signs and two words at least."""
+    t = plain(text)
+    found = re.finditer(r"[^.!?]+(?:[.!?]|$)", t)
+    return [s for m in found if len(s := m[0]) > 12 and s[-1] in ".!?" and t[m.end() : m.end() + 1] in ("", " ") and " " in s.strip()]
+
+
+def _endings(text: str, owner: str, known: frozenset[str]) -> list[list[int]]:
+    """Features and, last, 1 if cut, of each sentence without its stop and of two cuts of it; where follows from a hash."""
+    out = []
+    for s in _sentences(text):
+        s = s.strip().rstrip(".!?")
+        out.append([*ending_features(s, known), 0])
+        blanks, least = [m.start() for m in re.finditer(" ", s)][1:], len(s) // 4
+        d = hashlib.sha1(f"{owner}\x1f{s}".encode()).digest()
+        for i in (0, 10):
+            where = int.from_bytes(d[i + 1 : i + 10], "big")
+            at = blanks[where % len(blanks)] if blanks and d[i] < 128 else least + where % max(len(s) - 1 - least, 1)
+            out.append([*ending_features(s[:at].rstrip(), known), 1])
+    return out
+
+
+def _frequent(count: dict[str, int], sentences: int) -> frozenset[str]:
+    return frozenset(w for w, n in count.items() if n >= max(5, sentences // 4000))
+
+
+class Seen:
+    """What the models take from all texts: how many of each language hold three letters, how many sentences a word."""
+
+    def __init__(self):
+        self.letters = np.zeros((len(MODEL_LANGUAGES), 1 << 17), np.int64)
+        self.words: Counter[str] = Counter()
+        self.sentences = 0
+
+    def add_texts(self, texts: list[str]) -> None:
+        by: list[list[tuple[list[str], int]]] = [[] for _ in MODEL_LANGUAGES]
+        for t, times in Counter(texts).items():
+            words = _only(plain(t))
+            if lang := function_language(words):
+                by[MODEL_LANGUAGES.index(lang)].append((words, times))
+        for n, own in zip(self.letters, by):
+            for a in range(0, len(own), 2000):
+                each, times = _grams([words for words, _ in own[a : a + 2000]]), np.array([times for _, times in own[a : a + 2000]])
+                n += np.bincount(each & 0x1FFFF, times[each >> 17], 1 << 17).astype(np.int64)
+
+    def add_sentences(self, texts: list[str]) -> None:
+        for t in texts:
+            for s in _sentences(t):
+                self.sentences += 1
+                self.words.update(set(re.findall(r"[^\s.!?\"“”]+", s.casefold())))
+
+
 class Endings:
     """Tells whole sentences without their stop from cut ones; fitted on sentences that are cut at random."""
 
-    def __init__(self, texts: list[str], seed: int = 3):
-        rng = np.random.default_rng(seed)
-        sentences = [s for t in texts for s in re.findall(r"[^.!?]{12,}[.!?](?=\s|$)", plain(t)) if " " in s.strip()]
-        count: dict[str, int] = {}
-        for s in sentences:
-            for w in set(re.findall(r"[^\s.!?\"“”]+", s.casefold())):
-                count[w] = count.get(w, 0) + 1
-        self.known = frozenset(w for w, n in count.items() if n >= max(5, len(sentences) // 4000))
-        rows, y = [], []
-        for s in sentences:
-            s = s.strip().rstrip(".!?")
-            rows.append(ending_features(s, self.known))
-            y.append(0.0)
-            blanks = [m.start() for m in re.finditer(" ", s)][1:]
-            for _ in range(2):
-                at = int(rng.choice(blanks)) if blanks and rng.random() < 0.5 else int(rng.integers(len(s) // 4, max(len(s) - 1, len(s) // 4 + 1)))
-                rows.append(ending_features(s[:at].rstrip(), self.known))
-                y.append(1.0)
+    def __init__(self, texts: list[str]):
+        seen = Seen()
+        seen.add_sentences(texts)
+        self.known = _frequent(seen.words, seen.sentences)
+        rows = np.array([x for i, t in enumerate(texts) for x in _endings(t, str(i), self.known)], np.int32).reshape(-1, 9)
         self.model = Ngrams()
-        if rows:
-            self.model.fit(np.array(rows), np.array(y))
+        self.model.w = logistic(lambda w: slope(w, rows[:, :8], rows[:, 8]))
+
+    @classmethod
+    def of(cls, known: frozenset[str], w: np.ndarray) -> Endings:
+        new = cls.__new__(cls)
+        new.known, new.model = known, Ngrams()
+        new.model.w = w
+        return new
 
     def cut(self, text: str) -> float:
         return float(self.model.score(np.array([ending_features(text, self.known)]))[0])
@@ -155,13 +216,12 @@ class Endings:
 class Languages:
     """Naive Bayes over letter trigrams, from texts whose function words leave no doubt."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], letters: np.ndarray | None = None):
+        """letters: those that are known already of more texts, as Seen counts them."""
         self.kept: dict[str | None, tuple] = {}
-        n = np.ones((len(MODEL_LANGUAGES), 1 << 17))
-        for t in texts:
-            lang = function_language(_only(plain(t)))
-            if lang:
-                n[MODEL_LANGUAGES.index(lang), _letters(plain(t))] += 1
+        seen = Seen()
+        seen.add_texts(texts)
+        n = 1.0 + seen.letters + (0 if letters is None else letters)
         self.log = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
     def asked(self, question: str | None) -> tuple[str, list[str], str | None]:
@@ -184,12 +244,7 @@ class Languages:
         """of() of each text, for all at once."""
         out: list[str | None] = [None] * len(texts)
         for a in range(0, len(texts), 2000):
-            part = [f"  {' '.join(_only(t))} " for t in texts[a : a + 2000]]
-            c = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.int64)
-            owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
-            whole = owner[:-2] == owner[2:]
-            gram = (c[:-2] * 73_856_093 ^ c[1:-1] * 19_349_663 ^ c[2:] * 83_492_791) & 0x1FFFF
-            each = np.unique((owner[:-2][whole] << 17) | gram[whole])
+            each = _grams([_only(t) for t in texts[a : a + 2000]])
             starts = np.flatnonzero(np.r_[True, np.diff(each >> 17) > 0]) if len(each) else np.zeros(0, int)
             if not len(starts):
                 continue
@@ -275,21 +330,84 @@ def votes(question: str | None, answer: str | None, task: str | None, endings: E
     return out
 
 
-def defects(rows: DataFrame, key: str = "pred_id", fields: list[str] = ["prediction", "reference_output"], question: str = "question", task: str = "task_type", version: str = "loaded_at", sample: int = SAMPLE) -> DataFrame:
+def models_of(flat: DataFrame) -> tuple[Endings, Languages]:
+    """The models of endings and languages from all rows: k, field_name, q, a.
+
+    Counts are summed by Spark; only those of letters (a fixed number) and the words that one sentence in 4,000 has, but five
+    at least, reach the driver. The examples of endings are written once and read in each pass of the fit. All sums are whole
+    numbers, so the models don't depend on how the rows lie.
+    """
+    spark = flat.sparkSession
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+
+        def taken() -> pa.RecordBatch:
+            kind, gram = np.nonzero(seen.letters)
+            words = [*seen.words]
+            kinds = np.r_[kind, np.full(len(words), 4), 5].astype(np.int32)
+            names = pa.array([None] * len(kind) + words + [None], pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.r_[gram, np.zeros(len(words) + 1)].astype(np.int32)), names, pa.array(np.r_[seen.letters[kind, gram], np.fromiter(seen.words.values(), np.int64, len(words)), seen.sentences].astype(np.int64))], names=["kind", "gram", "word", "n"])
+
+        for batch in batches:
+            q, a = ([t for t in c.to_pylist() if t] for c in batch.columns)
+            seen.add_texts(q + a)
+            seen.add_sentences(a)
+            if len(seen.words) > WORDS:
+                yield taken()
+                seen = Seen()
+        yield taken()
+
+    counted = cut(flat.select("q", "a").mapInArrow(counts, "kind int, gram int, word string, n long").groupBy("kind", "gram", "word").agg(F.sum("n").alias("n")))
+    sentences = counted.where("kind = 5").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    some = counted.where(F.col("kind") == 4).where(F.col("n") >= max(5, sentences // 4000)).select("word", "n").toArrow()
+    known = _frequent(dict(zip(some["word"].to_pylist(), some["n"].to_pylist())), sentences)
+    some = counted.where("kind < 4").select("kind", "gram", "n").toArrow()
+    letters = np.zeros((len(MODEL_LANGUAGES), 1 << 17), np.int64)
+    letters[some["kind"].to_numpy(), some["gram"].to_numpy()] = some["n"].to_numpy()
+
+    usual = spark.sparkContext.broadcast(known)
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array([x for owner, t in zip(*(c.to_pylist() for c in batch.columns)) if t for x in _endings(t, owner, usual.value)], "<i4").reshape(-1, 9)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i : i + 256].tobytes() for i in range(0, len(rows), 256)], pa.binary())], names=["x"])
+
+    made = cut(flat.select(F.concat_ws("\x1f", F.col("k").cast("string"), "field_name").alias("owner"), "a").mapInArrow(examples, "x binary")).coalesce(TASKS)
+    usual.destroy()
+
+    def slopes(w: np.ndarray) -> np.ndarray:
+        now = spark.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(now.value) + 1, np.int64)
+            for batch in batches:
+                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4").reshape(-1, 9)
+                total += slope(now.value, x[:, :8], x[:, 8])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+        out = np.zeros(len(w) + 1, np.int64)
+        for part in made.mapInArrow(run, "s binary").toArrow()["s"].to_pylist():
+            out += np.frombuffer(part, np.int64)
+        now.destroy()
+        return out
+
+    return Endings.of(known, logistic(slopes)), Languages([], letters)
+
+
+def defects(rows: DataFrame, key: str = "pred_id", fields: list[str] = ["prediction", "reference_output"], question: str = "question", task: str = "task_type", version: str = "loaded_at") -> DataFrame:
     """key, field_name, defect, posterior, cutoff: a row for each defect of each field, with how sure the label model is.
 
     Of repeated keys the latest version counts; null keys are left out. Null questions are copied by nothing and set no
     language, a null task type is no refusal task. The reliabilities are fitted on the vote patterns of all rows; cutoffs
-    are validated: each is the mean of those that two halves of the rows get from a model fitted on the other half. Only
-    the models of endings and of languages, which some functions ask, are fitted on about `sample` answers.
+    are validated: each is the mean of those that two halves of the rows get from a model fitted on the other half. The
+    models of endings and of languages, which some functions ask, are fitted on all rows, too.
     """
     spark = rows.sparkSession
     kind = rows.schema[key].dataType.simpleString()
     latest = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max_by(F.struct(F.col(question).alias("q"), F.col(task).alias("t"), *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields))), F.struct(F.coalesce(F.col(version).cast("string"), F.lit("")), F.xxhash64(*fields))).alias("x")).select("k", "x.*")
     flat = cut(latest.select("k", "q", "t", F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"f{i}").alias("a")) for i, f in enumerate(fields)))).alias("y")).select("k", "q", "t", "y.*"))
-    n = flat.count()
-    some = flat.where(F.pmod(F.xxhash64("k", "field_name"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(n, 1)))).select("q", "a").limit(2 * sample).collect()
-    models = spark.sparkContext.broadcast((Endings([r["a"] for r in some if r["a"]]), Languages([t for r in some for t in (r["q"], r["a"]) if t])))
+    models = spark.sparkContext.broadcast(models_of(flat))
     offsets = np.cumsum([0, *FUNCTIONS.values()])
 
     @F.pandas_udf("array<tinyint>")

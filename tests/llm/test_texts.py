@@ -1,3 +1,4 @@
+import inspect
 import re
 
 import numpy as np
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm.defects import Endings, Languages, defects, one_defect, votes
+from factloom.llm.defects import Endings, Languages, Seen, defects, models_of, one_defect, votes
 from factloom.llm.labels import cutoff, fit, posterior
 from factloom.llm import leaks as leaks_module
 from factloom.llm.leaks import Automaton, leak_report, leaks, located_words, remove_leaks, words
@@ -134,6 +135,28 @@ def test_defects_of_a_table(spark):
     assert one_defect(defects(df.limit(0))).count() == 0
 
 
+def test_models_come_from_all_rows(spark):
+    german = ["Der Druck ist in der ersten Stunde nicht hoch und wird dann von der Pumpe gehalten.", "Die Pumpe wird mit der Hand bedient. Sie ist nicht schwer"]
+    rows = [(i, f, "What is the pressure of the upper valve?", s) for i, s in enumerate(SENTENCES[:60] + german + [None, "", "x" * 50_000, "One more. Two more of 3.5 mg. The end is near!"]) for f in ("a", "b")]
+    want_language = Languages([t for _, _, q, a in rows for t in (q, a) if t])
+    seen = Seen()
+    seen.add_sentences([a for *_, a in rows if a])
+    assert seen.sentences == 2 * 63
+    one = None
+    for parts in (1, 5):
+        end, lang = models_of(spark.createDataFrame(rows, "k long, field_name string, q string, a string").repartition(parts))
+        assert np.array_equal(lang.log, want_language.log)
+        assert end.known == frozenset(w for w, n in seen.words.items() if n >= 5) and "pressure" in end.known and "druck" not in end.known
+        one = end if one is None else one
+        assert np.array_equal(end.model.w, one.model.w) and end.model.w.any()
+    # Nothing of the rows can be left out: each word and each sentence that is added shows.
+    more = models_of(spark.createDataFrame([*rows, (999, "a", None, "The rotor is not heavy when it is empty.")], "k long, field_name string, q string, a string"))
+    assert not np.array_equal(more[0].model.w, one.model.w) and not np.array_equal(more[1].log, want_language.log)
+    assert "sample" not in inspect.signature(defects).parameters
+    empty = models_of(spark.createDataFrame([], "k long, field_name string, q string, a string"))
+    assert not empty[0].known and not empty[0].model.w.any()
+
+
 def test_copies_of_a_cut_answer_are_found():
     q, short = "What is the pressure of the upper valve?", "The heat of the lower"
     lang = Languages(SENTENCES)
