@@ -3,11 +3,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import routing as R
 from factloom.operators import analysis as A
 from factloom.operators import knowledge as N
 from factloom.operators import retrieval as Q
 from factloom.operators import scoring as S
 from factloom.operators import variants as V
+from factloom.plans.queries import QUERIES
+from factloom.plans.sql import SQL
 
 FACT = "fact_idx long, source string, relation string, title string, text string, aliases array<string>, entities array<string>, tokens array<string>"
 
@@ -68,6 +71,31 @@ def test_search_in_blocks_matches_sums_of_all_pairs(spark, monkeypatch):
     assert late == {(x, rank, i) for x in range(40) for rank, (_, i) in enumerate(sorted(((s, i) for (y, i), s in sums.items() if y == x), reverse=True)[:5], 1)}
 
 
+@pytest.fixture(scope="module")
+def many_facts(spark, tmp_path_factory):
+    """Tables in which a record's rarest word is in 20,000 facts, none of which is among its best."""
+    d = str(tmp_path_factory.mktemp("many"))
+    kinds = F.array(*(F.struct(F.lit(s).alias("source"), F.lit(r).alias("relation")) for s, r in sorted({(s, r) for x in R.skill_table(spark).collect() for s in x["sources"] for r in x["relations"]})))
+    i = spark.range(45_000).withColumn("rare", F.col("id") < 20_000).withColumn("kind", F.get(kinds, (F.col("id") % F.size(kinds)).cast("int")))
+    tokens = F.when(F.col("rare"), F.concat(F.array(F.lit("rarely")), F.transform(F.sequence(F.lit(1), F.lit(19)), lambda x: F.concat(F.lit("filler"), x.cast("string"))))).otherwise(F.array(F.lit("common")))
+    none = F.lit(None).cast("array<string>")
+    f = i.select(F.col("id").alias("fact_idx"), F.when(F.col("rare"), "other").otherwise(F.col("kind.source")).alias("source"), F.when(F.col("rare"), "other").otherwise(F.col("kind.relation")).alias("relation"), F.lit("t").alias("title"), F.concat_ws(" ", tokens).alias("text"), none.alias("aliases"), none.alias("entities"), tokens.alias("tokens"))
+    f.coalesce(1).write.parquet(f"{d}/facts.parquet")
+    like = spark.read.parquet("/root/testdata/sf0.001/qa_records.parquet").limit(0)
+    given = {"qa_id": F.col("id"), "id": F.col("id").cast("string"), "source": F.lit("fdarxbench"), "question": F.lit("rarely common"), "task_type": F.lit("factual")}
+    spark.range(3).select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in like.dtypes)).coalesce(1).write.parquet(f"{d}/qa_records.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["bm25_routed", "bm25_routed_wrong"])
+def test_no_candidate_is_dropped_where_a_rare_word_is_in_many_facts(spark, many_facts, name):
+    duckdb = pytest.importorskip("duckdb").connect()
+    for t in ("facts", "qa_records"):
+        duckdb.sql(f"create view {t} as select * from '{many_facts}/{t}.parquet/*.parquet'")
+    want = duckdb.sql(SQL[name]).fetchall()
+    assert len(want) >= 3 and sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in QUERIES[name](spark, many_facts).collect())
+
+
 def test_edge_cap_matches_a_sequential_walk(spark):
     rng = random.Random(1)
     for cap in (1, 2, 3):
