@@ -87,7 +87,7 @@ def many_facts(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["bm25_routed", "bm25_routed_wrong", "bm25_routed_predicted", "bm25_routed_random", "hybrid_retrieve", "prompts", "prompts_ablated"])
+@pytest.mark.parametrize("name", ["bm25_routed", "bm25_routed_wrong", "bm25_routed_predicted", "bm25_routed_random", "hybrid_retrieve", "prompts", "prompts_ablated", "skill_hybrid_retrieve"])
 def test_no_candidate_is_dropped_where_a_rare_word_is_in_many_facts(spark, many_facts, name):
     duckdb = pytest.importorskip("duckdb").connect()
     for t in ("facts", "qa_records"):
