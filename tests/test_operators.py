@@ -1,10 +1,14 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import routing as R
 from factloom.operators import analysis as A
+from factloom.operators import blocks
 from factloom.operators import knowledge as N
 from factloom.operators import retrieval as Q
 from factloom.operators import scoring as S
@@ -71,6 +75,28 @@ def test_search_in_blocks_matches_sums_of_all_pairs(spark, monkeypatch):
     assert late == {(x, rank, i) for x in range(40) for rank, (_, i) in enumerate(sorted(((s, i) for (y, i), s in sums.items() if y == x), reverse=True)[:5], 1)}
 
 
+def test_sums_in_one_pass_hold_the_best_of_all_with_ties_hits_and_what_may_be_used():
+    rng = np.random.default_rng(5)
+    held = [sorted(set(rng.zipf(1.3, rng.integers(0, 9)).clip(max=40).tolist())) for _ in range(700)]
+    lists = blocks.Lists([pa.array([[f"w{x}" for x in r] for r in held], pa.list_(pa.string()))])
+    base, ids = 1.0 + np.arange(10) / 4, rng.permutation(700)
+    for usable in (None, rng.random(700) < 0.4, np.zeros(700, bool)):
+        sums = blocks.Sums(lists, usable, base)
+        for i in range(60):
+            words = rng.permutation(40)[: 1 + i % 7] + 1
+            asked = [(int(c), 1.0 + w % 3) for w, c in ((w, pc.index_in(pa.scalar(f"w{w}"), value_set=lists.words).as_py()) for w in words.tolist()) if c is not None]
+            weight = {lists.words[c].as_py(): w for c, w in asked}
+            may = np.ones(700, bool) if usable is None else usable
+            hits = np.flatnonzero(may & (rng.random(700) < 0.01))
+            want = []
+            for row in np.flatnonzero(may).tolist():
+                score = sum(int(np.floor(weight[f"w{x}"] / base[len(held[row])] * 1e9 + 0.5)) for x in held[row] if f"w{x}" in weight) + 10**9 * (row in hits)
+                want.append((-score, row not in hits, int(ids[row]) * (-1 if i % 2 else 1)))
+            rows, score, hit = sums.best(asked, hits, np.full(len(hits), 10**9), 8, 0)
+            at = blocks._first(ids[rows], score, hit, 8, bool(i % 2))
+            assert [(-int(score[x]), not hit[x], int(ids[rows[x]]) * (-1 if i % 2 else 1)) for x in at] == [x for x in sorted(want) if x[0] < 0][:8]
+
+
 @pytest.fixture(scope="module")
 def many_facts(spark, tmp_path_factory):
     """Tables in which a record's rarest word is in 20,000 facts, none of which is among its best."""
